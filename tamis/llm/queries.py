@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import tokens
+from tamis.llm import packing, tokens, urlfilter, warc
 
 LIMIT = 2048
 
@@ -20,9 +20,43 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe(), LIMIT)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe(), LIMIT, end_id=0)
+
+
+#: The rules that the query judges by.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+OP6 = r"""
+with cut as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path
+  from cut
+), rules(verdict, host, path) as (
+  values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits as (
+  select p.page_id, p.host, p.path, r.host || r.path as rule, r.verdict,
+         row_number() over (partition by p.page_id, p.host, p.path order by length(r.host) - length(replace(r.host, '.', '')) desc, length(r.path) desc) as k
+  from parts p left join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fits where k = 1
+"""
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_counts,)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": OP6}
