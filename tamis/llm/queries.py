@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import packing, tokens, urlfilter, warc
+from tamis.llm import mixing, packing, tokens, urlfilter, warc
 
 LIMIT = 2048
 
@@ -54,8 +54,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), (5.0, 2.0, 1.0), most=3).drop("times")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
