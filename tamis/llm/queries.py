@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import mixing, packing, tokens, urlfilter, warc
+from tamis.llm import knn, mixing, packing, tokens, urlfilter, warc
 
 LIMIT = 2048
 
@@ -20,6 +20,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe(), LIMIT)
 
 
+def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scale=256)
+
+
+OP4 = """
+with parts as (
+  select vec_id, unnest(generate_series(1, len(embedding))) as i, unnest(embedding) as x from embeddings
+), ints as (
+  select vec_id, i, cast(floor(256 * cast(x as double)) as bigint) as x from parts
+), scores as (
+  select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
+  from ints q join ints c on q.i = c.i and q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  group by all
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scores
+)
+select * from ranked where rank <= 5
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe(), LIMIT, end_id=0)
 
@@ -59,8 +79,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op4_knn_join, op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6}
+    return {"op4_knn_join": OP4, "op6_url_filters": OP6}
