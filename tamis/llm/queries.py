@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import knn, mixing, packing, tokens, urlfilter, warc
+from tamis.llm import knn, mixing, packing, quality, tokens, urlfilter, warc
 
 LIMIT = 2048
 
@@ -20,6 +20,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe(), LIMIT)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.score(docs, quality.train(docs, labels, quality.learns(3, 1)))
+    return found.select("doc_id", (~quality.learns(3, 1)).alias("held_out"), "score", "predicted")
+
+
 def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scale=256)
 
@@ -79,7 +85,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_knn_join, op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op3_quality, op4_knn_join, op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
