@@ -157,5 +157,5 @@ def score(docs: DataFrame, model: BradleyTerry, keep: tuple[str, ...] = ()) -> D
             found = model.scores(vectors(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found), pa.array((found >= 0.5).astype("int32"))], names=[*columns, "score", "predicted"])
 
-    schema = rows.select(*columns).schema.add("score", "double").add("predicted", "int")
+    schema = rows.select(*columns).schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(scored, schema)
