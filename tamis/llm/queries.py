@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import knn, mixing, packing, quality, tokens, toxicity, urlfilter, warc
+from tamis.llm import fingerprints, knn, mixing, packing, quality, tokens, toxicity, urlfilter, warc
 
 LIMIT = 2048
 
@@ -20,6 +20,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe(), LIMIT)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.score(docs, toxicity.train(docs, labels, quality.learns(5, 0)))
@@ -91,7 +95,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_quality, op4_knn_join, op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_quality, op4_knn_join, op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
