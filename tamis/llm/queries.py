@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import fingerprints, knn, mixing, packing, quality, tokens, toxicity, urlfilter, warc
+from tamis.llm import fingerprints, jaccard, knn, mixing, packing, quality, tokens, toxicity, urlfilter, warc
 
 LIMIT = 2048
 
@@ -86,6 +86,36 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=5, similarity=(4, 5)).drop("links")
+
+
+OP7 = r"""
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from split
+), sized as (select doc_id, len(s) as n, s from sets), rows as (
+  select doc_id, n, unnest(s) as g from sized
+), pairs as (
+  select a.doc_id as u, b.doc_id as v, count(*) as k, any_value(a.n) as x, any_value(b.n) as y
+  from rows a join rows b on a.g = b.g and a.doc_id < b.doc_id
+  group by all
+), links as (
+  select u, v from pairs where 100 * k >= 80 * (x + y - k)
+), edges as (select u, v from links union all select v, u from links), reach(node, seen) as (
+  select doc_id, doc_id from sized
+  union
+  select edges.v, reach.seen from reach join edges on edges.u = reach.node
+)
+select doc_id, cast(any_value(n) as bigint) as n_shingles, min(seen) as component_id
+from sized join reach on doc_id = node group by doc_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -95,8 +125,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_quality, op4_knn_join, op5_best_fit_packing, op6_url_filters, op8_warc, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_quality, op4_knn_join, op5_best_fit_packing, op6_url_filters, op7_jaccard_join, op8_warc, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_knn_join": OP4, "op6_url_filters": OP6}
+    return {"op4_knn_join": OP4, "op6_url_filters": OP6, "op7_jaccard_join": OP7}
