@@ -1,8 +1,70 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: toxic documents go, poor ones go, one document of each near-duplicate group stays, sources are mixed to target weights and the mix is packed into sequences.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and
+reads it again for the next stage. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamis.llm import jaccard, mixing, packing, quality, queries, toxicity
+from tamis.llm.common import BROADCAST_ROWS, written
+
+#: No SQL says what trained models, tokenizers and packing do; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not vote toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.learns(5, 0))
+    return toxicity.score(docs, model, keep=COLUMNS, evidence=False).filter("predicted = 0").select(*COLUMNS)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at or above the quality threshold."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.learns(3, 1))
+    return quality.score(docs, model, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; of rows with one id, the least row. Rows without an id stay."""
+    groups = written(jaccard.join(docs).select("doc_id", "component_id"), "groups")
+    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = written(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    some = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    kept = docs.select(*COLUMNS).join(some(gone), "doc_id", "left_anti").select(*COLUMNS)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(some(repeated), "doc_id", "left_anti").select(*COLUMNS)
+    least = kept.join(some(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return once.unionByName(least)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    found = mixing.mix(docs, carry=COLUMNS)
+    return found.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mix, in sequences of at most 2048 tokens."""
+    return packing.pack(docs, queries.word_bpe(), queries.LIMIT, end_id=0)
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("quality classifier", good),
+    ("n-gram Jaccard join", distinct),
+    ("mixing sources to target weights", mixed),
+    ("best-fit packing", packed),
+]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
