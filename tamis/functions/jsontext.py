@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,8 +115,6 @@ def dumps(value: object, indent: int | None = None, level: int = 0) -> str:
 
 def pretty(json_text: Column) -> Column:
     """JSON text with two blanks a level; only for arrays and objects that a selector shows."""
-    import pandas as pd
-
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else dumps(loads(x), 2))
 

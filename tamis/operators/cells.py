@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -208,8 +209,6 @@ def _against_cell(a: Cell, op: str, b: Cell) -> Bool:
 
 def _row_regex(shown: Column, pattern: Column) -> Column:
     """A pattern of each row's own: no plan-time translation, so Python's engine, batch by batch."""
-    import pandas as pd
-
     def run(texts_: pd.Series, patterns: pd.Series) -> pd.Series:
         import re
 
