@@ -68,6 +68,7 @@ def _printed(found: DataFrame, compiled: Query, streamed: bool) -> DataFrame:
         return kept.select("source", "at", F.coalesce("raw", "doc").alias("value"))
     if compiled.selector is None:
         return binding.select(rows, compiled, carry=("source", "at"))
+    rows, binding = binding.prepared(rows, compiled)
     cell = binding.cell(compiled.selector)
     shown = rows.select("source", "at", "line", cell.shown(pretty=True).alias("value"))
     # A missing field prints nothing from a document and a blank line from a line.

@@ -26,23 +26,11 @@ def parse_number(text: str) -> float | None:
 
 def number_text(x: Column) -> Column:
     """A double in its shortest form that reads back: 25.5, 1.0, 1e20, 1.5e-7; plain from 1e-5 up to below 1e16."""
-    s = F.abs(x).cast("string")
-    sign = F.when(x < 0, "-").otherwise("")
-    mantissa, power = F.substring_index(s, "E", 1), F.coalesce(F.when(F.contains(s, F.lit("E")), F.substring_index(s, "E", -1).cast("int")), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    digits = F.regexp_replace(F.concat(whole, fraction), "^0+(?=.)", "")
-    # Digits before the point, counted from the first that is not 0.
-    lead = F.when(whole == "0", F.length(digits) - F.length(fraction)).otherwise(F.length(whole)) + power
-    trimmed = F.regexp_replace(digits, "0+$", "")
-    n = F.length(trimmed)
-    wide = F.concat(F.rpad(trimmed, lead, "0"), F.lit(".0"))
-    inside = F.concat(F.substring(trimmed, F.lit(1), lead), F.lit("."), F.substring(trimmed, lead + 1, n))
-    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -lead), trimmed)
-    first, rest = F.substring(trimmed, F.lit(1), F.lit(1)), F.substring(trimmed, F.lit(2), n)
-    far = F.concat(first, F.when(n > 1, F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), (lead - 1).cast("string"))
-    shown = F.when((n <= lead) & (lead <= 16), wide).when((lead > 0) & (lead <= 16), inside).when((lead > -5) & (lead <= 0), below).otherwise(far)
-    return F.when(x == 0, F.lit("0.0")).when(F.isnan(x) | (F.abs(x) == math.inf), F.lit("null")).otherwise(F.concat(sign, shown))
+    s, size = x.cast("string"), F.abs(x)
+    # A decimal made of a double has the double's shortest digits.
+    plain = lambda kind: F.regexp_replace(x.cast(kind).cast("string"), "(\\.0|[1-9])0*\\z", "$1")
+    far = F.replace(F.replace(s, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e"))
+    return F.when(F.isnan(x) | (size == math.inf), F.lit("null")).when(~F.contains(s, F.lit("E")), s).when((size >= 1e7) & (size < 1e16), plain("decimal(38,18)")).when((size >= 1e-5) & (size < 1e-3), plain("decimal(38,30)")).otherwise(far)
 
 
 def number_words(x: float) -> str:

@@ -13,6 +13,10 @@ class Binding:
     def cell(self, path: Path) -> Cell:
         raise NotImplementedError
 
+    def prepared(self, df: DataFrame, query: Query) -> tuple[DataFrame, Binding]:
+        """The table with what the query's paths need, and the binding to go on with."""
+        return df, self
+
     def leaf(self, f: Compare) -> Bool:
         return compare(self.cell(f.path), f.op, f.value, self.cell(f.value) if isinstance(f.value, Path) else None)
 
@@ -55,15 +59,53 @@ class Binding:
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     def where(self, df: DataFrame, query: Query) -> DataFrame:
-        return df if query.filter is None else df.filter(column(self.holds(query.filter)))
+        if query.filter is None:
+            return df
+        found, binding = self.prepared(df, query)
+        return found.filter(column(binding.holds(query.filter))).select(*[F.col(f"`{c}`") for c in df.columns])
 
     def select(self, df: DataFrame, query: Query, name: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
         """What the query prints for each row that passes, after the carried columns."""
-        kept = self.where(df, query)
+        kept, binding = self.prepared(df, query)
+        if query.filter is not None:
+            kept = kept.filter(column(binding.holds(query.filter)))
         if query.selector is not None:
-            cell = self.cell(query.selector)
+            cell = binding.cell(query.selector)
             if cell.present is not True:
                 kept = kept.filter(column(cell.present))
             return kept.select(*carry, cell.shown(pretty=True).alias(name))
         template = query.template or Template((Path((ORIGINAL,)),))
-        return kept.select(*carry, self.rendered(template).alias(name))
+        return kept.select(*carry, binding.rendered(template).alias(name))
+
+
+def paths(query: Query) -> list[Path]:
+    """The different paths of a query, in order."""
+    found: dict[Path, None] = {}
+
+    def of_filter(f: Filter) -> None:
+        if isinstance(f, (And, Or)):
+            of_filter(f.left)
+            of_filter(f.right)
+        elif isinstance(f, Not):
+            of_filter(f.inner)
+        else:
+            found[f.path] = None
+            if isinstance(f, Compare) and isinstance(f.value, Path):
+                found[f.value] = None
+
+    def of_template(t: Template) -> None:
+        for item in t.items:
+            if isinstance(item, Path):
+                found[item] = None
+            elif isinstance(item, Choice):
+                found[item.path] = None
+                of_template(item.yes)
+                of_template(item.no)
+
+    if query.filter is not None:
+        of_filter(query.filter)
+    if query.template is not None:
+        of_template(query.template)
+    if query.selector is not None:
+        found[query.selector] = None
+    return list(found)

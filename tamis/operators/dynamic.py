@@ -9,14 +9,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions import text as texts
 from tamis.functions.jsontext import dumps, loads, pretty
-from tamis.operators.binding import Binding
+from tamis.operators.binding import Binding, paths
 from tamis.operators.cells import Cell
-from tamis.plans.ast import Path
+from tamis.plans.ast import Path, Query
 
 #: Keys that a VARIANT path can name.
 _NAMED = re.compile(r"[^'\"?\[\]\\]+")
@@ -34,12 +34,20 @@ def _index(part: str) -> int | None:
 class Json(Binding):
     """rec: VARIANT; doc: the same as JSON text, which keeps numbers as they were written; raw: the original text, null for values that are no objects."""
 
-    def __init__(self, rec: Column, doc: Column, raw: Column):
-        self.rec, self.doc, self.raw = rec, doc, raw
+    def __init__(self, rec: Column, doc: Column, raw: Column, known: dict[Path, int] | None = None):
+        self.rec, self.doc, self.raw, self.known = rec, doc, raw, known or {}
 
-    def cell(self, path: Path) -> Cell:
-        if path.is_original:
-            return _original(self.raw)
+    def prepared(self, df: DataFrame, query: Query) -> tuple[DataFrame, Json]:
+        """Each path is followed once: its value and its JSON text become columns."""
+        known = {p: i for i, p in enumerate(p for p in paths(query) if not p.is_original)}
+        columns = {}
+        for p, i in known.items():
+            columns[f"_v{i}"], columns[f"_j{i}"] = self.followed(p)
+        found = df.withColumns(columns) if columns else df
+        kinds = {f"_k{i}": F.schema_of_variant(F.col(f"_v{i}")) for i in known.values()}
+        return found.withColumns(kinds) if kinds else found, Json(self.rec, self.doc, self.raw, known)
+
+    def followed(self, path: Path) -> tuple[Column, Column]:
         if all(_NAMED.fullmatch(p) for p in path.parts):
             v, json = self.rec, None
             steps = [""]
@@ -56,7 +64,16 @@ class Json(Binding):
         else:
             json = _fragment(self.doc, path.parts)
             v = F.try_parse_json(json)
-        kind = F.schema_of_variant(v)
+        return v, json
+
+    def cell(self, path: Path) -> Cell:
+        if path.is_original:
+            return _original(self.raw)
+        if path in self.known:
+            v, json, kind = (F.col(f"_{c}{self.known[path]}") for c in "vjk")
+        else:
+            v, json = self.followed(path)
+            kind = F.schema_of_variant(v)
         number = F.try_variant_get(v, "$", "double")
         many = F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
         whole = F.regexp_replace(json, "^-0$", "0")

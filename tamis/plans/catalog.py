@@ -2,20 +2,202 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis import api
+
+#: name: (table, expression, SQL). The expression runs on the table as it is.
+ON_TABLES: dict[str, tuple[str, str, str]] = {
+    "eq_str": ("events", 'event_type == "error" $event_id', "select event_id::varchar as value from events where event_type = 'error'"),
+    "ne_str": ("events", 'event_type != "error" $event_id', "select event_id::varchar as value from events where event_type <> 'error'"),
+    "eq_num": ("lineitem", "l_quantity == 25 $l_orderkey", "select l_orderkey::varchar as value from lineitem where l_quantity = 25"),
+    "ne_num": ("lineitem", "l_linenumber != 1 $l_orderkey", "select l_orderkey::varchar as value from lineitem where l_linenumber <> 1"),
+    "eq_small_num": ("lineitem", "l_discount == 0.05 $l_orderkey", "select l_orderkey::varchar as value from lineitem where abs(l_discount - 0.05::double) < 2.220446049250313e-16"),
+    "lt": ("lineitem", "l_quantity < 25 [${l_orderkey}-${l_linenumber}]", "select l_orderkey || '-' || l_linenumber as value from lineitem where l_quantity < 25"),
+    "le": ("lineitem", "l_quantity <= 25 [${l_orderkey}-${l_linenumber}]", "select l_orderkey || '-' || l_linenumber as value from lineitem where l_quantity <= 25"),
+    "gt": ("lineitem", "l_quantity > 25 [${l_orderkey}-${l_linenumber}]", "select l_orderkey || '-' || l_linenumber as value from lineitem where l_quantity > 25"),
+    "ge": ("part", "p_size >= 10.5 [${p_partkey}]", "select p_partkey::varchar as value from part where p_size >= 10.5"),
+    "num_vs_string": ("orders", 'o_totalprice > "100000" $o_orderkey', "select o_orderkey::varchar as value from orders where o_totalprice > 100000"),
+    "string_vs_num": ("events", "event_type > 5 $event_id", "select event_id::varchar as value from events where false"),
+    "contains": ("part", 'p_name *= "widget" $p_name', "select p_name as value from part where contains(p_name, 'widget')"),
+    "tilde": ("part", 'p_name ~ "bolt" $p_name', "select p_name as value from part where contains(p_name, 'bolt')"),
+    "starts": ("part", 'p_name ^= "red" $p_name', "select p_name as value from part where starts_with(p_name, 'red')"),
+    "ends": ("customer", 'c_name $= "7" $c_name', "select c_name as value from customer where ends_with(c_name, '7')"),
+    "regex": ("part", "p_brand ~= /^Brand#1\\d?$/ $p_partkey", "select p_partkey::varchar as value from part where regexp_matches(p_brand, '^Brand#1\\d?$')"),
+    "regex_flags": ("part", "p_brand ~= /BRAND#2/i $p_partkey", "select p_partkey::varchar as value from part where regexp_matches(p_brand, '(?i)BRAND#2')"),
+    "regex_text": ("part", 'p_type ~= "^(ECO|PRO)" $p_partkey', "select p_partkey::varchar as value from part where regexp_matches(p_type, '^(ECO|PRO)')"),
+    "regex_invalid": ("part", 'p_brand ~= "[bad" $p_partkey', "select p_partkey::varchar as value from part where contains(p_brand, '[bad')"),
+    "contains_number": ("lineitem", 'l_linenumber *= "4" $l_orderkey', "select l_orderkey::varchar as value from lineitem where contains(l_linenumber::varchar, '4')"),
+    "and": ("orders", 'o_orderstatus == "F" && o_totalprice >= 1000 $o_orderkey', "select o_orderkey::varchar as value from orders where o_orderstatus = 'F' and o_totalprice >= 1000"),
+    "or": ("orders", 'o_orderstatus == "F" || o_orderpriority ^= "1" $o_orderkey', "select o_orderkey::varchar as value from orders where o_orderstatus = 'F' or starts_with(o_orderpriority, '1')"),
+    "not": ("orders", '!(o_orderstatus == "F") && o_totalprice >= 1000 $o_orderkey', "select o_orderkey::varchar as value from orders where o_orderstatus <> 'F' and o_totalprice >= 1000"),
+    "double_not": ("orders", "!!(o_totalprice < 50000) $o_orderkey", "select o_orderkey::varchar as value from orders where o_totalprice < 50000"),
+    "paren": ("orders", '(o_orderstatus == "F" || o_orderstatus == "P") && o_totalprice < 90000 $o_orderkey', "select o_orderkey::varchar as value from orders where o_orderstatus in ('F', 'P') and o_totalprice < 90000"),
+    "not_missing": ("events", "!(nope == 1) $event_id", "select event_id::varchar as value from events"),
+    "missing_ne": ("events", "nope != 1 $event_id", "select event_id::varchar as value from events where false"),
+    "truthy_num": ("labels", "toxic? $doc_id", "select doc_id::varchar as value from labels where toxic <> 0"),
+    "truthy_str": ("events", "event_type? $event_id", "select event_id::varchar as value from events where lower(event_type) not in ('false', 'f', '0', 'no', 'off') and event_type <> ''"),
+    "truthy_array": ("embeddings", "embedding? $vec_id", "select vec_id::varchar as value from embeddings where len(embedding) > 0"),
+    "field_vs_field": ("lineitem", "l_tax < l_discount [${l_orderkey}-${l_linenumber}]", "select l_orderkey || '-' || l_linenumber as value from lineitem where l_tax < l_discount"),
+    "field_eq_field": ("lineitem", "l_orderkey == l_partkey $l_orderkey", "select l_orderkey::varchar as value from lineitem where l_orderkey = l_partkey"),
+    "selector_flat": ("events", "event_type", "select event_type as value from events"),
+    "selector_number": ("events", "value", "select value::varchar as value from events"),
+    "selector_missing": ("events", "nope", "select event_type as value from events where false"),
+    "array_index": ("embeddings", "embedding.0 > 0 $vec_id", "select vec_id::varchar as value from embeddings where embedding[1] > 0"),
+    "template_simple": ("customer", "[${c_name}: ${c_mktsegment}]", "select c_name || ': ' || c_mktsegment as value from customer"),
+    "template_braced": ("customer", "{<$c_name> ${c_custkey}}", "select '<' || c_name || '> ' || c_custkey as value from customer"),
+    "template_literal": ("nation", "{name}", "select 'name' as value from nation"),
+    "template_dollar": ("nation", "$20", "select '$20' as value from nation"),
+    "template_missing": ("nation", "[${n_name}${nope}]", "select n_name as value from nation"),
+    "template_choice": ("labels", "${toxic?bad:ok}", "select case when toxic <> 0 then 'bad' else 'ok' end as value from labels"),
+    "filter_template": ("orders", "o_totalprice > 200000 [${o_orderkey} ${o_orderpriority}]", "select o_orderkey || ' ' || o_orderpriority as value from orders where o_totalprice > 200000"),
+    "filter_only": ("region", 'r_name ^= "A"', "select '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}' as value from region where starts_with(r_name, 'A')"),
+}
+
+FLAGSHIP = 'event_type == "error" && value > 100 [${user_id}: ${event_id}]'
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large error events, one rendered line each."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kept = events.filter((F.col("event_type") == "error") & (F.col("value") > 100))
-    return kept.select(F.concat(F.col("user_id").cast("string"), F.lit(": "), F.col("event_type")).alias("value"))
+    return api.query(table(spark, sf_dir, "events"), FLAGSHIP)
+
+
+def _lines(spark: SparkSession, sf_dir: str, name: str, *parts) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.concat(*parts).alias("value"))
+
+
+def _events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type", F.parse_json("props").alias("props"))).alias("value"))
+
+
+def null_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"))
+    return api.query(df, 'kind == null || kind ~ "ul" || kind != "click" && kind ^= "e" [${event_id} ${kind}]')
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run_lines(_events_json(spark, sf_dir), "json", "props.k > 50 [${event_id} ${event_type} ${props.k}]")
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run_lines(table(spark, sf_dir, "events"), "json", "k", column="props")
+
+
+def json_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run_lines(table(spark, sf_dir, "events"), "json", "${k?set:zero}", column="props")
+
+
+def logfmt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir, "events", F.lit("level="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(' msg="two words"'))
+    return api.run_lines(lines, "logfmt", 'level == "error" && user > 5 [${user} ${msg}]')
+
+
+def logfmt_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir, "events", F.lit("level="), "event_type", F.lit(" user="), F.col("user_id").cast("string"))
+    return api.run_lines(lines, "logfmt", "level")
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir, "nation", F.col("n_nationkey").cast("string"), F.lit(",\""), "n_name", F.lit(", x\","), F.col("n_regionkey").cast("string"))
+    return api.run_lines(lines, "csv", "field_2 == 1 [${field_0}|${field_1}]")
+
+
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run_lines(table(spark, sf_dir, "documents").withColumn("value", F.translate("text", "\n", " ")), "text", "word_0")
+
+
+def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run_lines(table(spark, sf_dir, "documents").withColumn("value", F.translate("text", "\n", " ")), "text", 'word_0 == "The" [${word_1} ${word_2}]')
+
+
+def _document(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return df.select(F.lit(0).alias("source"), "text")
+
+
+def _joined(spark: SparkSession, sf_dir: str, name: str, order: str, line, head: str = "") -> DataFrame:
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))), lambda x: x["line"]), "\n")
+    return _document(spark, table(spark, sf_dir, name).agg(F.concat(F.lit(head), lines).alias("text")))
+
+
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _joined(spark, sf_dir, "nation", "n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")))
+    return api.run(docs, "n_regionkey >= 2 [${n_name}/${n_regionkey}]").values.select("value")
+
+
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _document(spark, table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("text")))
+    return api.run(docs, "n_name").values.select("value")
+
+
+def csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _joined(spark, sf_dir, "nation", "n_nationkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), "N_Key,N_Name,N_Region\n")
+    return api.run(docs, "n_region == 3 [${1}:${n_name}:${field_2}]").values.select("value")
+
+
+def yaml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _joined(spark, sf_dir, "region", "r_regionkey", F.concat(F.lit("- key: "), F.col("r_regionkey").cast("string"), F.lit("\n  name: "), F.col("r_name")))
+    return api.run(docs, "key > 0 [${name}]").values.select("value")
+
+
+def toml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _joined(spark, sf_dir, "region", "r_regionkey", F.concat(F.lit("r"), F.col("r_regionkey").cast("string"), F.lit(' = "'), F.col("r_name"), F.lit('"')))
+    return api.run(docs, "[${r0}-${r4}]").values.select("value")
+
+
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = _joined(spark, sf_dir, "nation", "n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"))))
+    regions = _joined(spark, sf_dir, "region", "r_regionkey", F.concat(F.lit("name="), "r_name", F.lit(" x=1")))
+    both = nations.unionByName(regions.withColumn("source", F.lit(1)))
+    return api.run(both, "name").values.select("value")
+
+
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest format of every page and of every conversation's text, counted."""
+    from tamis.sources.detect import detect
+
+    def name(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: detect(t or "")[0][0])
+
+    texts = table(spark, sf_dir, "pages").select(F.col("html").alias("text")).unionByName(table(spark, sf_dir, "conversations").select("text"))
+    return texts.select(F.pandas_udf(name, "string")("text").alias("format")).groupBy("format").agg(F.count("*").alias("n"))
+
+
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "flagship": (flagship, "select user_id || ': ' || event_id as value from events where event_type = 'error' and value > 100"),
+    "null_cells": (null_cells, "select event_id || ' ' || case when event_type = 'view' then 'null' else event_type end as value from events where event_type = 'view' or contains(event_type, 'ul') or (event_type <> 'click' and starts_with(event_type, 'e'))"),
+    "json_lines": (json_lines, "select event_id || ' ' || event_type || ' ' || (props->>'k') as value from events where (props->>'k')::int > 50"),
+    "json_props": (json_props, "select props->>'k' as value from events"),
+    "json_truthy": (json_truthy, "select case when (props->>'k')::int <> 0 then 'set' else 'zero' end as value from events"),
+    "logfmt_lines": (logfmt_lines, "select user_id || ' two words' as value from events where event_type = 'error' and user_id > 5"),
+    "logfmt_simple": (logfmt_simple, "select event_type as value from events"),
+    "csv_lines": (csv_lines, "select n_nationkey || '|' || n_name || ', x' as value from nation where n_regionkey = 1"),
+    "text_words": (text_words, "select list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1] as value from documents"),
+    "text_filter": (text_filter, "with w as (select list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from documents) select coalesce(w[2], '') || ' ' || coalesce(w[3], '') as value from w where w[1] = 'The'"),
+    "json_document": (json_document, "select n_name || '/' || n_regionkey as value from nation where n_regionkey >= 2"),
+    "json_array": (json_array, "select n_name as value from nation"),
+    "csv_header": (csv_header, "select n_nationkey || ':' || n_name || ':' || n_regionkey as value from nation where n_regionkey = 3"),
+    "yaml_document": (yaml_document, "select r_name as value from region where r_regionkey > 0"),
+    "toml_document": (toml_document, "select (select r_name from region where r_regionkey = 0) || '-' || (select r_name from region where r_regionkey = 4) as value"),
+    "union_sources": (union_sources, "select n_name as value from nation union all select r_name from region"),
+    "detect_format": (detect_format, None),
+}
+
+
+def _on_table(name: str, expression: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: api.query(table(spark, sf_dir, name), expression)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _on_table(t, e) for name, (t, e, _) in ON_TABLES.items()} | {name: f for name, (f, _) in OTHERS.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, _, sql) in ON_TABLES.items()} | {name: sql for name, (_, sql) in OTHERS.items() if sql is not None}
