@@ -107,7 +107,7 @@ def serialised(records: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")),
         line("WARC-Target-URI", F.regexp_replace("target_uri", "[\r\n]", " ")), line("WARC-Date", F.col("date")), line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
-        line("WARC-Source-Headers", F.base64(F.col("source_headers").cast("binary"))), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
+        line("WARC-Source-Headers", F.replace(F.base64(F.col("source_headers").cast("binary")), F.lit("\r\n"), F.lit(""))), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
     )
     return records.select(F.concat(head, "block").alias("value"))
 
