@@ -6,7 +6,8 @@ other share a token. The orders used here put rare tokens first (by levels of a
 differ in how a hash breaks ties; a pair must pass under each of them before it is verified.
 
 1. Documents with equal word sequences form a class; only one document of a class goes on in a task.
-2. A count sketch of all shingles gives each token its level. It is summed by segments and holds at most 2^24 bytes.
+2. A count sketch of all shingles gives each token its level. It is summed by segments and is broadcast as at most
+   2^MOST_BITS bytes.
 3. Prefix tokens under the first order are dealt by token. What remains are tokens that several classes hold.
 4. Each class is first paired with the most central class among those it shares a token with. Verified pairs
    contract; then the pairs of classes in different components that still share a token are verified too, and no
@@ -16,6 +17,8 @@ differ in how a hash breaks ties; a pair must pass under each of them before it
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +30,8 @@ from tamis.llm.components import components
 
 #: log2 of the sketch's counters, least and most, and counters for each document between them.
 LEAST_BITS, MOST_BITS, COUNTERS = 16, 24, 64
-SEGMENTS = 16
+#: log2 of a segment of the sketch: what a task sends at once, and what is summed in one place.
+SEGMENT = 14
 #: Prefix tokens that a bucket of the index holds, roughly; and prefix tokens of a document, for the number of buckets.
 BUCKET, PREFIX = 400_000, 110
 #: log2 of the bits that tell which classes are candidates.
@@ -82,7 +86,7 @@ def _class(own: list[bytes]) -> int:
 
 def _scan(docs: DataFrame, n: int, bits: int) -> Scratch:
     """kind 0: doc_id, class and set size of every row. kind 1: this task's part of the sketch, by segments."""
-    size, part = 1 << bits, (1 << bits) // SEGMENTS
+    size, part = 1 << bits, 1 << SEGMENT
     names = ["kind", "doc_id", "cls", "n", "segment", "counts"]
 
     def scanned(batches):
@@ -102,9 +106,11 @@ def _scan(docs: DataFrame, n: int, bits: int) -> Scratch:
             m = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, "int32")), ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if any_row:
-            for s in range(SEGMENTS):
-                own = counts[s * part : (s + 1) * part]
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([np.minimum(own, 65535).astype("uint16").tobytes()], pa.binary())], names=names)
+            for first in range(0, size // part, 64):
+                places = list(range(first, min(first + 64, size // part)))
+                own = [zlib.compress(np.minimum(counts[s * part : (s + 1) * part], 65535).astype("uint16").tobytes(), 1) for s in places]
+                m = len(places)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, "int32")), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.binary())], names=names)
 
     rows = only(docs, ("doc_id", "bigint"), ("text", "string"))
     return Scratch(rows.mapInArrow(scanned, "kind int, doc_id bigint, cls bigint, n bigint, segment int, counts binary"), "shingled", ["kind"])
@@ -124,16 +130,19 @@ def _levels(parts: DataFrame, bits: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(c.as_py(), "uint16")
-                held[s] = held[s] + own if s in held else own.astype("uint64")
+                own = np.frombuffer(zlib.decompress(c.as_py()), "uint16")
+                if s in held:
+                    held[s] += own
+                else:
+                    held[s] = own.astype("uint64")
         rows = [(s, np.floor(2 * np.log2(1.0 + c)).astype("uint8").tobytes()) for s, c in held.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "levels"])
 
-    found = parts.select("segment", "counts").repartition(SEGMENTS, "segment").mapInArrow(summed, "segment int, levels binary").collect()
-    out = np.zeros(1 << bits, "uint8")
-    part = len(out) // SEGMENTS
-    for r in found:
-        out[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["levels"], "uint8")
+    segments = max(1, (1 << bits) >> SEGMENT)
+    found = parts.select("segment", "counts").repartition(min(segments, 64), "segment").mapInArrow(summed, "segment int, levels binary").toArrow()
+    out, part = np.zeros(1 << bits, "uint8"), 1 << SEGMENT
+    for s, c in zip(found.column("segment").to_pylist(), found.column("levels"), strict=True):
+        out[s * part : (s + 1) * part] = np.frombuffer(c.as_py(), "uint8")
     return out
 
 
