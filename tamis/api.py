@@ -41,6 +41,10 @@ class Run:
             raise BrokenFirstLine(f"source {first['source']}, line 1: {first['message']}")
         return [r["value"] for r in self.values.orderBy("source", "at").collect()]
 
+    def write(self, path: str) -> None:
+        """The printed values as text files, which in order of their names hold the values in order."""
+        self.values.orderBy("source", "at").select("value").write.text(path)
+
 
 def run(documents: DataFrame, expression: str | None = None, template: str | None = None, fmt: str | None = None) -> Run:
     """An expression on whole texts (source, text), each in the format it is detected to have.

@@ -47,7 +47,11 @@ def _escape(text: str, at: int, in_class: bool) -> tuple[str, int]:
         m = re.compile(r"\{\^?[A-Za-z_=:& -]+\}|[A-Z]").match(text, at + 2)
         if not m:
             raise _Refused
-        return f"\\{c}{m[0]}", m.end()
+        name, letter = m[0].strip("{}"), c
+        if name.startswith("^"):
+            name, letter = name[1:], "P" if c == "p" else "p"
+        name = name.rpartition("=")[2].strip()
+        return f"\\{letter}{{{name if len(name) < 3 else 'Is' + name}}}", m.end()
     if in_class and c in "bBAz" or c not in _ESCAPES and c not in _SIGNS:
         raise _Refused
     return (f"\\{c}" if c.isascii() else re.escape(c)), at + 2
