@@ -154,7 +154,7 @@ def toml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = _joined(spark, sf_dir, "nation", "n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"))))
-    regions = _joined(spark, sf_dir, "region", "r_regionkey", F.concat(F.lit("name="), "r_name", F.lit(" x=1")))
+    regions = _joined(spark, sf_dir, "region", "r_regionkey", F.concat(F.lit('name="'), "r_name", F.lit('" x=1')))
     both = nations.unionByName(regions.withColumn("source", F.lit(1)))
     return api.run(both, "name").values.select("value")
 
