@@ -12,6 +12,7 @@ differ in how a hash breaks ties; a pair must pass under each of them before it
 4. Each class is first paired with the most central class among those it shares a token with. Verified pairs
    contract; then the pairs of classes in different components that still share a token are verified too, and no
    others are made. So a group of thousands of near copies costs about one pair each, and no link is lost.
+   Before its sets are read, a pair must pass an exact bound on the sets' difference, told by a bit for each token.
 5. Components of the links, by stars.
 """
 
@@ -84,27 +85,48 @@ def _class(own: list[bytes]) -> int:
     return signed(xxhash.xxh64_intdigest(b" ".join(own), 7))
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each place that an odd number of tokens fall on; as many places as tokens, up to a power of two."""
+    size = 64
+    while size < len(tokens) and size < 1 << 16:
+        size *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype("int64"), minlength=size).astype("uint8") & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, x: int, y: int, t: tuple[int, int]) -> bool:
+    """False only where two sets of sizes x and y differ too much: their bitmaps differ in no more places than they in tokens."""
+    a, b = np.frombuffer(a, "uint8"), np.frombuffer(b, "uint8")
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= x + y - 2 * least_overlap(x, y, t)
+
+
 def _scan(docs: DataFrame, n: int, bits: int) -> Scratch:
-    """kind 0: doc_id, class and set size of every row. kind 1: this task's part of the sketch, by segments."""
+    """kind 0: doc_id, class, set size and bitmap of every row. kind 1: this task's part of the sketch, by segments."""
     size, part = 1 << bits, 1 << SEGMENT
-    names = ["kind", "doc_id", "cls", "n", "segment", "counts"]
+    names = ["kind", "doc_id", "cls", "n", "segment", "bits"]
 
     def scanned(batches):
         counts, any_row = np.zeros(size, "uint32"), False
         for batch in batches:
-            ids, classes, sizes, tokens = batch.column(0), [], [], []
+            ids, classes, sizes, bits_of, tokens, waiting = batch.column(0), [], [], [], [], 0
             for x in batch.column(1).cast(pa.binary()):
                 own = words(x.as_py() or b"")
                 found = shingles(own, n)
                 tokens.append(found)
                 classes.append(_class(own))
                 sizes.append(len(found))
-                if sum(map(len, tokens[-64:])) > 1 << 18:
+                bits_of.append(bitmap(found))
+                waiting += len(found)
+                if waiting > 1 << 20:
                     _add(counts, tokens)
+                    waiting = 0
             _add(counts, tokens)
             any_row = any_row or bool(sizes)
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, "int32")), ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, "int32")), ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.array(bits_of, pa.binary())], names=names)
         if any_row:
             for first in range(0, size // part, 64):
                 places = list(range(first, min(first + 64, size // part)))
@@ -113,7 +135,7 @@ def _scan(docs: DataFrame, n: int, bits: int) -> Scratch:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, "int32")), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.binary())], names=names)
 
     rows = only(docs, ("doc_id", "bigint"), ("text", "string"))
-    return Scratch(rows.mapInArrow(scanned, "kind int, doc_id bigint, cls bigint, n bigint, segment int, counts binary"), "shingled", ["kind"])
+    return Scratch(rows.mapInArrow(scanned, "kind int, doc_id bigint, cls bigint, n bigint, segment int, bits binary"), "shingled", ["kind"])
 
 
 def _add(counts: np.ndarray, tokens: list[np.ndarray]) -> None:
@@ -139,7 +161,7 @@ def _levels(parts: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "levels"])
 
     segments = max(1, (1 << bits) >> SEGMENT)
-    found = parts.select("segment", "counts").repartition(min(segments, 64), "segment").mapInArrow(summed, "segment int, levels binary").toArrow()
+    found = parts.select("segment", "bits").repartition(min(segments, 64), "segment").mapInArrow(summed, "segment int, levels binary").toArrow()
     out, part = np.zeros(1 << bits, "uint8"), 1 << SEGMENT
     for s, c in zip(found.column("segment").to_pylist(), found.column("levels"), strict=True):
         out[s * part : (s + 1) * part] = np.frombuffer(c.as_py(), "uint8")
@@ -210,6 +232,7 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     Which documents they are is told by a bit for each hash of a class, up to 2^MOST_FLAGS bits; where these fill
     up, more sets than needed are read, and none is missed.
     """
+    wanted = written(wanted, "wanted")
     count = wanted.count()
     bits = 10
     while bits < MOST_FLAGS and 1 << bits < 16 * count:
@@ -242,6 +265,20 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs a, b that their bitmaps allow."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def kept(batches):
+        for batch in batches:
+            x, y, p, q = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+            keep = [i for i in range(len(x)) if may_be_similar(p[i], q[i], x[i], y[i], t)]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return found.mapInArrow(kept, "a bigint, b bigint")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], levels) -> DataFrame:
     """The pairs a, b that pass the filters of the further orders and whose sets are similar."""
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("right")), "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("left")), "a")
@@ -267,6 +304,14 @@ def _share(x: np.ndarray, y: np.ndarray, t: tuple[int, int], levels: np.ndarray,
     return bool(np.isin(*first, assume_unique=True).any())
 
 
+def _linked(docs: DataFrame, n: int, t: tuple[int, int], pairs: DataFrame, classes: DataFrame, levels) -> DataFrame:
+    """The pairs whose sets are similar, written; only the sets of pairs that their bitmaps allow are read."""
+    likely = written(_plausible(pairs, classes, t), "likely")
+    wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
+    sets = written(_sets(docs, n, wanted), "sets")
+    return written(_verify(likely, sets, t, levels), "linked")
+
+
 def _fits(t: tuple[int, int], a: str, b: str) -> str:
     """SQL: the sizes allow the similarity, and so do the places of the shared token if it is the first one."""
     p, q = t
@@ -294,16 +339,15 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> D
     while bits < MOST_BITS and 1 << bits < COUNTERS * count:
         bits += 1
     scan = _scan(docs, n, bits)
-    rows = docs.sparkSession.read.parquet(scan.path)
+    rows = scan.df()
     levels = context.broadcast(_levels(rows.filter("kind = 1"), bits))
     of_docs = rows.filter("kind = 0").select("doc_id", "cls", "n")
     # cls is a hash of the words; with the set's size it names the class.
-    classes = written(of_docs.filter("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(rows.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "classes")
 
     buckets = max(8, -(-count * PREFIX // BUCKET))
     shared = written(_shared_tokens(docs, n, t, levels, buckets), "shared")
-    active = written(shared.groupBy("cls").agg(F.sum("held").alias("weight")), "active")
-    sets = written(_sets(docs, n, active.select("cls")), "sets")
+    active = shared.groupBy("cls").agg(F.sum("held").alias("weight"))
 
     # First pairs: each class and the most central one that it shares a fitting token with.
     weighed = shared.join(active, "cls")
@@ -311,7 +355,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> D
     w, h = weighed.alias("w"), heads.alias("h")
     first = w.join(h, F.col("w.tok") == F.col("h.tok")).filter("w.cls <> h.cls and " + _fits(t, "w", "h")).groupBy(F.col("w.cls").alias("cls")).agg(F.max(F.struct(F.col("h.weight"), F.col("h.cls"))).alias("h"))
     first = written(first.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct(), "first")
-    links = written(_verify(first, sets, t, levels), "linked")
+    links = _linked(docs, n, t, first, classes, levels)
 
     # Then the pairs across components that share a fitting token.
     parts = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
@@ -321,7 +365,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> D
     a, b = placed.alias("a"), placed.alias("b")
     more = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component"))).filter(_fits(t, "a", "b"))
     more = more.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = written(links.unionByName(_verify(written(more, "second"), sets, t, levels)), "linked")
+    links = written(links.unionByName(_linked(docs, n, t, more, classes, levels)), "linked")
 
     # From classes to documents.
     name = classes.groupBy("cls").agg(F.min("rep").alias("rep"))
