@@ -20,11 +20,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tamis.scratch", None)
     if not found:
         found = tempfile.mkdtemp(prefix="tamis-")
-        spark.conf.set("spark.tamis.scratch", found) if not spark.conf.get("spark.tamis.scratch", None) else None
-        found = spark.conf.get("spark.tamis.scratch")
+        spark.conf.set("spark.tamis.scratch", found)
     return found.rstrip("/")
 
 
