@@ -2,12 +2,13 @@
 
 1. Pivots come from a bounded sample (they set speed, never results); each vector joins its nearest pivot's cell.
 2. Per cell a summary: its radius, and its k + 1 vectors nearest to the pivot with their distances.
-3. Queries are grouped by cell, in blocks of at most BLOCK. With pivot p and radius r of the block, every query q of
-   it has |q - p| <= r, so for a vector x: x.p - r|x| <= q.x <= x.p + r|x|. The (k + 1)-th best lower bound over the
-   summaries is a floor theta of the k-th best score of every query in the block (one more, as a query's own row
-   may be among them).
-4. A vector goes to a block only if its upper bound reaches theta; a cell as a whole is left out by the same bound
-   on its summary. What goes there is dealt by (block, chunk of vectors), and each pair is solved locally.
+3. Queries are grouped by cells: one group for each cell, or neighbouring cells together where the bounds of many
+   small groups would send nearly every vector to each of them (the cheapest of a few groupings, by the share of the
+   sample that each would send). With centre p and radius r of a group, every query q of it has |q - p| <= r, so for
+   a vector x: x.p - r|x| <= q.x <= x.p + r|x|. The (k + 1)-th best lower bound over the summaries is a floor theta of
+   the k-th best score of every query in the group (one more, as a query's own row may be among them).
+4. A vector goes to a group only if its upper bound reaches theta; a cell as a whole is left out by the same bound
+   on its summary. What goes there is dealt by (group, block of queries, chunk of vectors) and solved locally.
 
 Scores are exact integers: products run in float64 while they fit 2^53, else in Python's integers.
 """
@@ -28,8 +29,10 @@ from tamis.llm.common import Scratch, only
 SAMPLE, PIVOTS = 20_000, 64
 #: Queries of a block, and vectors of a chunk (rough mean) that one task meets at once.
 BLOCK, CHUNK = 1024, 8192
-#: Relative room for float64 rounding in the bounds.
+#: Room for float64 rounding in the bounds, as a share of the product of the norms.
 SLACK = 1e-9
+#: What sending a vector to a group costs, in products with a query.
+SEND = 400
 
 
 def as_matrix(vectors, width: int) -> np.ndarray:
@@ -109,7 +112,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     width, n = max(1, shape["width"]), shape["n"]
 
     sample = base.orderBy(F.xxhash64("row")).limit(SAMPLE).select("vec").collect()
-    pivots = fit_pivots(as_matrix([r["vec"] for r in sample], width).astype("float64"), PIVOTS)
+    some = as_matrix([r["vec"] for r in sample], width).astype("float64")
+    pivots = fit_pivots(some, PIVOTS)
 
     def celled(batches):
         for batch in batches:
@@ -126,19 +130,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     is_query = F.col("vec_id") % every == 0
     asked = cells.filter(is_query)
     per_cell = {r["cell"]: (r["n"], r["radius"]) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-    blocks = {c: -(-m // BLOCK) for c, (m, _) in per_cell.items()}
-    groups = sorted(per_cell)
-    centre = pivots[groups]
-    reach = np.array([per_cell[c][1] for c in groups])
-    norms = np.sqrt(np.square(summary).sum(1))
-    lower = centre @ summary.T - reach[:, None] * norms
-    lower -= SLACK * (1 + np.abs(lower))
-    floor = np.sort(lower, 1)[:, -(k + 1)] if lower.shape[1] > k else np.full(len(groups), -np.inf)
+    groups, centre, reach, floor = _grouped(per_cell, pivots, summary, some, k)
+    blocks = [-(-sum(per_cell[c][0] for c in own) // BLOCK) for own in groups]
     # A cell as a whole: x.p <= c.p + radius|p| and |x| <= |c| + radius for its pivot c.
     wide = np.array([radius.get(c, 0.0) for c in range(len(pivots))])
     size_c, size_p = np.sqrt(np.square(pivots).sum(1)), np.sqrt(np.square(centre).sum(1))
     over = centre @ pivots.T + wide * size_p[:, None] + reach[:, None] * (size_c + wide)
-    open_cells = over + SLACK * (1 + np.abs(over)) >= floor[:, None]
+    open_cells = over + SLACK * (1 + (size_c + wide) * (size_p + reach)[:, None]) >= floor[:, None]
     chunks = max(1, math.ceil(n / CHUNK))
 
     def sent(batches):
@@ -147,8 +145,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             if not len(x):
                 continue
             cell = batch.column("cell").to_numpy()
-            bound = x @ centre.T + np.sqrt(np.square(x).sum(1))[:, None] * reach
-            bound += SLACK * (1 + np.abs(bound))
+            norm = np.sqrt(np.square(x).sum(1))[:, None]
+            bound = x @ centre.T + norm * reach + SLACK * (1 + norm * (size_p + reach))
             goes = (bound >= floor) & open_cells[:, cell].T
             at, group = np.nonzero(goes)
             chunk = (batch.column("row").to_numpy() * 0x9E3779B1 % 2**32 % chunks)[at]
@@ -156,14 +154,14 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             yield pa.RecordBatch.from_arrays([pa.array(group.astype("int32")), pa.array(chunk.astype("int32")), taken.column("vec_id"), taken.column("row"), taken.column("vec")], names=["group", "chunk", "vec_id", "row", "vec"])
 
     data = cells.select("vec_id", "vec", "row", "cell").mapInArrow(sent, "`group` int, chunk int, vec_id bigint, row bigint, vec array<bigint>")
-    number = F.create_map(*[F.lit(x) for i, c in enumerate(groups) for x in (c, i)])
-    count = F.create_map(*[F.lit(x) for c in groups for x in (c, blocks[c])])
+    number = F.create_map(*[F.lit(x) for i, own in enumerate(groups) for c in own for x in (c, i)])
+    count = F.create_map(*[F.lit(x) for i, own in enumerate(groups) for c in own for x in (c, blocks[i])])
     block = F.pmod(F.xxhash64("row"), F.element_at(count, F.col("cell"))).cast("int")
     asked = asked.select(F.element_at(number, F.col("cell")).alias("group"), block.alias("block"), "vec_id", "row", "vec")
     # Each block meets each chunk of its group's vectors; the vectors go to every block of their group.
-    most = max(blocks.values())
+    most = max(blocks)
     if most > 1:
-        many = F.element_at(F.array(*[F.lit(blocks[c]) for c in groups]), F.col("group") + 1)
+        many = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("group") + 1)
         data = data.withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
     else:
         data = data.withColumn("block", F.lit(0))
@@ -196,6 +194,30 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _grouped(per_cell: dict[int, tuple[int, float]], pivots: np.ndarray, summary: np.ndarray, sample: np.ndarray, k: int) -> tuple[list[list[int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of each group of queries, with the groups' centres, radii and floors: the cheapest of a few groupings."""
+    asked, best = sorted(per_cell), None
+    own, sizes = pivots[asked], np.array([per_cell[c][0] for c in asked])
+    far, norms, sizes_of = np.array([per_cell[c][1] for c in asked]), np.sqrt(np.square(summary).sum(1)), np.sqrt(np.square(sample).sum(1))
+    count = len(asked)
+    while count:
+        near = nearest(own, fit_pivots(own, count)) if count < len(asked) else np.arange(len(asked))
+        members = [np.flatnonzero(near == g) for g in range(count)]
+        members = [m for m in members if len(m)]
+        centre = np.array([np.average(own[m], axis=0, weights=sizes[m]) for m in members])
+        reach = np.array([(np.sqrt(np.square(own[m] - c).sum(1)) + far[m]).max() for m, c in zip(members, centre, strict=True)]) * (1 + SLACK)
+        lower = centre @ summary.T - reach[:, None] * norms
+        lower -= SLACK * (1 + norms * (np.sqrt(np.square(centre).sum(1)) + reach)[:, None])
+        floor = np.sort(lower, 1)[:, -(k + 1)] if lower.shape[1] > k else np.full(len(members), -np.inf)
+        share = (sample @ centre.T + sizes_of[:, None] * reach >= floor).mean(0)
+        asks = np.array([sizes[m].sum() for m in members])
+        cost = float((share * (SEND * -(-asks // BLOCK) + asks)).sum())
+        if best is None or cost < best[0]:
+            best = cost, [[asked[i] for i in m] for m in members], centre, reach, floor
+        count //= 2
+    return best[1:]
+
+
 def _closest(cells: DataFrame, m: int, width: int) -> np.ndarray:
     """The m vectors of each cell nearest to its pivot, as rows: each task sends at most m per cell."""
 
