@@ -17,7 +17,10 @@ from tamis.functions.jsontext import dumps, loads, pretty
 from tamis.operators.binding import Binding, paths
 from tamis.operators.cells import Cell
 from tamis.plans.ast import Path, Query
+from tamis.sources.detect import BLANKS
 
+#: Words that are read off a line one by one.
+NEAR = 32
 #: Keys that a VARIANT path can name.
 _NAMED = re.compile(r"[^'\"?\[\]\\]+")
 
@@ -40,12 +43,14 @@ class Json(Binding):
     def prepared(self, df: DataFrame, query: Query) -> tuple[DataFrame, Json]:
         """Each path is followed once: its value and its JSON text become columns."""
         known = {p: i for i, p in enumerate(p for p in paths(query) if not p.is_original)}
-        columns = {}
-        for p, i in known.items():
-            columns[f"_v{i}"], columns[f"_j{i}"] = self.followed(p)
-        found = df.withColumns(columns) if columns else df
-        kinds = {f"_k{i}": F.schema_of_variant(F.col(f"_v{i}")) for i in known.values()}
-        return found.withColumns(kinds) if kinds else found, Json(self.rec, self.doc, self.raw, known)
+        if not known:
+            return df, self
+        followed = {i: self.followed(p) for p, i in known.items()}
+        found = df.withColumns({f"_v{i}": v for i, (v, _) in followed.items()})
+        found = found.withColumns({f"_k{i}": F.schema_of_variant(F.col(f"_v{i}")) for i in followed})
+        # Only numbers, arrays and objects are shown by their JSON text.
+        found = found.withColumns({f"_j{i}": F.when(~F.col(f"_k{i}").isin("STRING", "BOOLEAN", "VOID"), j) for i, (_, j) in followed.items()})
+        return found, Json(self.rec, self.doc, self.raw, known)
 
     def followed(self, path: Path) -> tuple[Column, Column]:
         if all(_NAMED.fullmatch(p) for p in path.parts):
@@ -115,6 +120,9 @@ class Words(Binding):
     def __init__(self, parts: Column, raw: Column):
         self.parts, self.raw = parts, raw
 
+    def at(self, i: int) -> Column:
+        return F.get(self.parts, F.lit(i))
+
     def cell(self, path: Path) -> Cell:
         if path.is_original:
             return _original(self.raw)
@@ -128,24 +136,41 @@ class Words(Binding):
             at = int(m[1])
         if at is None:
             return Cell()
-        found = F.get(self.parts, F.lit(at))
+        found = self.at(at)
         return Cell(present=found.isNotNull(), is_text=True, text=found)
 
 
+class Text(Words):
+    """Lines of text: one of the first words is read off the line, without splitting the rest."""
+
+    def at(self, i: int) -> Column:
+        if i >= NEAR:
+            return super().at(i)
+        return F.nullif(F.regexp_extract(self.raw, f"^[{BLANKS}]*(?:[^{BLANKS}]++[{BLANKS}]++){{{i}}}([^{BLANKS}]+)", 1), F.lit(""))
+
+
 class Fields(Words):
     prefix = "field"
 
 
 class Pairs(Binding):
-    """Lines as a map of texts."""
+    """Lines of logfmt: a simple line is searched for the key, others come as a map of texts."""
 
-    def __init__(self, pairs: Column, raw: Column):
-        self.pairs, self.raw = pairs, raw
+    def __init__(self, simple: Column, pairs: Column, raw: Column):
+        self.simple, self.pairs, self.raw = simple, pairs, raw
 
     def cell(self, path: Path) -> Cell:
         if path.is_original:
             return _original(self.raw)
         if len(path.parts) != 1:
             return Cell()
-        found = F.try_element_at(self.pairs, F.lit(path.parts[0]))
+        key = path.parts[0]
+        mapped = F.try_element_at(self.pairs, F.lit(key))
+        if not key or re.search(f"[{BLANKS}=\"\\\\]", key):
+            found = F.when(~self.simple, mapped)
+        else:
+            # The last of several pairs with one key counts.
+            own = "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in key)
+            pattern = f"(?s)^(?:.*[{BLANKS}])?{own}=([^{BLANKS}]*)"
+            found = F.when(self.simple, F.when(self.raw.rlike(pattern), F.regexp_extract(self.raw, pattern, 1))).otherwise(mapped)
         return Cell(present=found.isNotNull(), is_text=True, text=found)

@@ -111,11 +111,11 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.run_lines(table(spark, sf_dir, "documents").withColumn("value", F.translate("text", "\n", " ")), "text", "word_0")
+    return api.run_lines(table(spark, sf_dir, "documents").withColumn("value", F.replace("text", F.lit("\n"), F.lit(" "))), "text", "word_0")
 
 
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.run_lines(table(spark, sf_dir, "documents").withColumn("value", F.translate("text", "\n", " ")), "text", 'word_0 == "The" [${word_1} ${word_2}]')
+    return api.run_lines(table(spark, sf_dir, "documents").withColumn("value", F.replace("text", F.lit("\n"), F.lit(" "))), "text", 'word_0 == "The" [${word_1} ${word_2}]')
 
 
 def _document(spark: SparkSession, df: DataFrame) -> DataFrame:

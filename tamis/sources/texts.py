@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.jsontext import dumps
 from tamis.operators.binding import Binding
-from tamis.operators.dynamic import Fields, Json, Pairs, Words
+from tamis.operators.dynamic import Fields, Json, Pairs, Text
 from tamis.sources.decode import Broken, csv_line, decode, logfmt_value
 from tamis.sources.detect import BLANKS, CSV, JSON, LOGFMT, TEXT
 
@@ -82,18 +82,24 @@ def lines(source: DataFrame, fmt: str, column: str = "value") -> Lines:
         return Lines(rows, Json(F.col("rec"), F.col("doc"), F.col("own")))
     if fmt == TEXT:
         rows = rows.withColumn("parts", F.filter(F.split("raw", f"[{BLANKS}]+"), lambda w: w != ""))
-        return Lines(rows, Words(F.col("parts"), F.col("raw")))
+        return Lines(rows, Text(F.col("parts"), F.col("raw")))
     if fmt == LOGFMT:
-        rows = rows.withColumn("pairs", _pairs(F.col("raw"))).filter("pairs is not null")
-        return Lines(rows, Pairs(F.col("pairs"), F.col("raw")))
+        rows = rows.withColumn("simple", F.col("raw").rlike(SIMPLE))
+        rows = rows.withColumn("pairs", _pairs(F.when(~F.col("simple"), F.col("raw")))).filter("simple or pairs is not null")
+        return Lines(rows, Pairs(F.col("simple"), F.col("pairs"), F.col("raw")))
     if fmt == CSV:
         rows = rows.withColumn("parts", _fields(F.col("raw"))).filter("parts is not null")
         return Lines(rows, Fields(F.col("parts"), F.col("raw")))
     raise ValueError(f"no line format {fmt!r}")
 
 
+#: Lines of blank-separated pairs without quotes and escapes.
+SIMPLE = f"^[{BLANKS}]*+[^{BLANKS}=\"\\\\]++=[^{BLANKS}\"\\\\]*+(?:[{BLANKS}]++[^{BLANKS}=\"\\\\]++=[^{BLANKS}\"\\\\]*+)*+[{BLANKS}]*+\\z"
+
+
 def _pairs(raw: Column) -> Column:
-    """A map of a logfmt line, or null where it is none. Simple lines (blank-separated k=v, no quotes) take native functions."""
+    """A map of a logfmt line, or null where it is none."""
+
     def run(s: pd.Series) -> pd.Series:
         def one(line):
             if line is None:
@@ -105,14 +111,7 @@ def _pairs(raw: Column) -> Column:
 
         return s.map(one)
 
-    simple = raw.rlike(f"^[{BLANKS}]*[^{BLANKS}=\"\\\\]+=[^{BLANKS}\"\\\\]*([{BLANKS}]+[^{BLANKS}=\"\\\\]+=[^{BLANKS}\"\\\\]*)*[{BLANKS}]*\\z")
-    entry = f"([^{BLANKS}=]+)=([^{BLANKS}]*)"
-    keys, values = F.regexp_extract_all(raw, F.lit(entry), F.lit(1)), F.regexp_extract_all(raw, F.lit(entry), F.lit(2))
-    # The last of several pairs with one key counts.
-    last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size(keys)).alias("i")), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 1, F.size(keys)), e["k"]))
-    native = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
-    other = F.pandas_udf(run, "map<string,string>")(F.when(~simple, raw))
-    return F.when(simple, native).otherwise(other)
+    return F.pandas_udf(run, "map<string,string>")(raw)
 
 
 def _fields(raw: Column) -> Column:
