@@ -1,23 +1,24 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with inverted lists and rows of frequent terms.
 
 Fitting (on at most SAMPLE labelled documents):
 
-* Terms are words and word starts ("idio*") that stand out among toxic examples by the log-likelihood ratio. What
-  counts is how many different surroundings a term has there, so that a passage copied many times adds one; a
-  word start must begin several different words.
-* Labelled documents become unit TF-IDF vectors over those terms, in inverted lists cut into aligned blocks of
-  documents, each with its largest weight.
-
-Scoring: the block maxima bound every block's best cosine; blocks are visited from the highest bound down, and the
-search ends when no bound reaches the k-th cosine found, so the neighbours are exact. Neighbours vote by label,
-weighted by nearness; a logistic curve fitted on the labelled documents' own leave-one-out votes turns vote and
-nearness into a probability. Documents without any term score the share of toxic ones among such examples.
+* Every word of a labelled document is a term. Words and word starts ("idio*") that stand out among toxic examples by
+  the log-likelihood ratio lean toxic and weigh BOOST times as much; such starts are terms too. What counts for leaning
+  is how many different surroundings a term has there; a word start must begin several different words.
+* Labelled documents become unit TF-IDF vectors over all terms: inverted lists of the rarer terms, and rows of the
+  COMMON most frequent ones, where lists would be nearly full.
+
+Scoring: the cosine with every example is the product with the rows, some documents at a time, and the sum of the
+rarer terms' lists; only blocks of examples whose largest cosine reaches the k-th found are ranked, so the neighbours
+are exact. Words that no example holds count in a document's length. Neighbours vote by label, weighted by nearness; a
+logistic curve fitted on the labelled documents' own leave-one-out votes turns vote and nearness into a probability.
+Documents that share no term with an example score the share of toxic ones among examples without words.
 """
 
 from __future__ import annotations
 
 import math
-import struct
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,10 +31,12 @@ from pyspark.sql import types as T
 from tamis.llm.common import Scratch, only
 from tamis.llm.quality import labelled, sigmoid
 
-#: Labelled documents that the model is fitted on at most, candidate terms, terms in the model.
+#: Labelled documents that the model is fitted on at most, candidate terms, terms that lean toxic.
 SAMPLE, CANDIDATES, TERMS = 20_000, 50_000, 5_000
 #: Neighbours that vote, documents of a block, neighbours shown as evidence.
 NEIGHBOURS, BLOCK, SHOWN = 15, 64, 5
+#: Frequent terms that are kept in rows, documents searched at once, weight of terms that lean toxic.
+COMMON, AT_ONCE, BOOST = 384, 64, 6.0
 #: Least log-likelihood ratio of a term (a chance of one in 10^6), least words that a word start begins, most surroundings counted.
 LEAST_RATIO, LEAST_WORDS, CONTEXTS = 24.0, 4, 256
 STARTS = (4, 5, 6)
@@ -83,55 +86,76 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray = field(repr=False)  # [term, block]: where a block's postings start in the term's list
-    docs: list[np.ndarray] = field(repr=False)
-    weights: list[np.ndarray] = field(repr=False)
-    tops: np.ndarray = field(repr=False)  # [term, block]: the largest weight
-    counts: list[dict[int, int]] = field(repr=False)  # by place
+    row: np.ndarray = field(repr=False)  # [term]: its row among the frequent terms, or -1
+    starts: np.ndarray = field(repr=False)  # [term]: where its list starts; lists of frequent terms are empty
+    docs: np.ndarray = field(repr=False)
+    weights: np.ndarray = field(repr=False)
+    common: np.ndarray = field(repr=False)  # [document, frequent term]
+    counts: list[dict[int, int]] = field(repr=False)  # by place, where built from dicts
 
     @staticmethod
     def build(numbers: dict[str, int], rows: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """rows: id, label, {term: count}, each with a term. They are placed by their rarest term, so that blocks hold alike documents."""
-        df = np.zeros(len(numbers))
-        for *_, counts in rows:
-            df[list(counts)] += 1
-        idf = np.log((1 + len(rows)) / (1 + df)) + 1
-        rows = sorted(rows, key=lambda r: (max(r[2], key=lambda t: (idf[t], -t)), len(r[2]), r[0], r[1]))
-        blocks = max(1, -(-len(rows) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in numbers]
-        for at, (*_, counts) in enumerate(rows):
-            for t, w in zip(*unit(counts, idf), strict=True):
-                lists[t].append((at, w))
-        docs = [np.array([d for d, _ in own], "int64") for own in lists]
-        weights = [np.array([w for _, w in own]) for own in lists]
-        tops, starts = np.zeros((len(numbers), blocks)), np.zeros((len(numbers), blocks + 1), "int64")
-        for t, own in enumerate(docs):
-            starts[t] = np.searchsorted(own, np.arange(blocks + 1) * BLOCK)
-            np.maximum.at(tops[t], own // BLOCK, weights[t])
-        return Index(numbers, idf, np.array([r[0] for r in rows], "int64"), np.array([r[1] for r in rows], "float64"), starts, docs, weights, tops, [r[2] for r in rows])
+        """rows: id, label, {term: count}, each with a term."""
+        rows = sorted(rows, key=lambda r: (r[0], r[1], sorted(r[2].items())))
+        sizes = [len(r[2]) for r in rows]
+        terms_, counts = (np.array([x for r in rows for x in f(r[2])], "int64") for f in (dict.keys, dict.values))
+        found = Index.of(numbers, np.array([r[0] for r in rows], "int64"), np.array([r[1] for r in rows], "float64"), np.array(sizes, "int64"), terms_, counts, np.ones(len(numbers)))
+        found.counts = [r[2] for r in rows]
+        return found
+
+    @staticmethod
+    def of(numbers, ids, labels, sizes, terms_, counts, boost) -> Index:
+        """The terms and counts of all documents, one after the other, sizes of each; boost: a weight for each term."""
+        n, v = len(ids), len(boost)
+        df = np.bincount(terms_, minlength=v)
+        idf = (np.log((1 + n) / (1 + df)) + 1) * boost
+        place = np.repeat(np.arange(n, dtype="int32"), sizes)
+        w = (1 + np.log(counts)) * idf[terms_]
+        w = (w / np.sqrt(np.bincount(place, w * w, n))[place]).astype("float32")
+        blocks = max(1, -(-n // BLOCK))
+        often = np.argsort(-df, kind="stable")[:COMMON]
+        often = often[df[often] * 64 > n]
+        row = np.full(v, -1, "int32")
+        row[often] = np.arange(len(often))
+        dense = row[terms_] >= 0
+        common = np.zeros((blocks * BLOCK, len(often)), "float32")
+        common[place[dense], row[terms_[dense]]] = w[dense]
+        own, at, rest = terms_[~dense], place[~dense], w[~dense]
+        order = np.argsort(own, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=v))])
+        return Index(numbers, idf, ids, labels, row, starts, at[order], rest[order], common, [])
 
     def nearest(self, counts: dict[int, int], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest with a cosine above 0; ties go to the earlier place."""
-        own, weights = unit(counts, self.idf)
-        bounds = weights @ self.tops[own]
-        order = np.argsort(-bounds, kind="stable")
-        at, cosines, least = np.zeros(0, "int64"), np.zeros(0), 0.0
-        for b in order:
-            if bounds[b] <= 0 or len(at) == k and bounds[b] < least - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(own, weights, strict=True):
-                lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                if hi > lo:
-                    sums[self.docs[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            if without is not None and without // BLOCK == b:
-                sums[without % BLOCK] = 0.0
-            found = np.flatnonzero(sums > 0)
-            at, cosines = np.concatenate([at, found + b * BLOCK]), np.concatenate([cosines, sums[found]])
-            best = np.lexsort((at, -cosines))[:k]
-            at, cosines = at[best], cosines[best]
-            least = cosines[-1] if len(at) == k else 0.0
-        return at, np.minimum(cosines, 1.0)
+        return self.search([unit(counts, self.idf)], k, [without])[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for unit vectors; without: for each, a place or several that are left out, or None."""
+        q = np.zeros((len(queries), self.common.shape[1]), "float32")
+        for i, (own, weights) in enumerate(queries):
+            rows = self.row[own]
+            q[i, rows[rows >= 0]] = weights[rows >= 0]
+        if self.docs.dtype != np.int64:  # they travel at half the size
+            self.docs, self.weights = self.docs.astype("int64"), self.weights.astype("float64")
+        sums = q @ self.common.T
+        return [self._best(*query, sums[i], k, without and without[i]) for i, query in enumerate(queries)]
+
+    def _best(self, own, weights, sums, k, without) -> tuple[np.ndarray, np.ndarray]:
+        lo, size = self.starts[own], self.starts[own + 1] - self.starts[own]
+        lo, size, w = lo[size > 0], size[size > 0], weights[size > 0]
+        if len(lo):
+            at = np.repeat(lo - np.cumsum(size) + size, size)
+            at += np.arange(len(at))
+            add = np.repeat(w, size)
+            add *= self.weights.take(at)
+            sums = sums + np.bincount(self.docs.take(at), add, len(sums))
+        if without is not None:
+            sums[without] = 0.0
+        tops = sums.reshape(-1, BLOCK).max(1)
+        least = max(0.0, np.partition(tops, -k)[-k]) if len(tops) > k else 0.0
+        at = np.flatnonzero((sums >= least) & (sums > 0))
+        best = at[np.lexsort((at, -sums[at]))[:k]]
+        return best, np.minimum(sums[best].astype("float64"), 1.0)
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,59 +173,71 @@ def vote(labels: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
 @dataclass
 class Model:
     index: Index
+    hashes: np.ndarray  # sorted hashes of the terms; a term's number is its place
+    leaning: dict[str, int]  # word starts that lean toxic
     curve: np.ndarray
-    without: float  # score of documents without a term
-    _known: _Known | None = None
-    _memo: dict | None = None
+    without: float  # score of documents that share no term with an example
+    _places: dict | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_known": None, "_memo": None}
-
-    def counts(self, data: bytes) -> dict[int, int]:
-        if self._known is None:
-            self._known = _Known(self.index.numbers)
-        known, own = self._known, words(data)
+        return {**self.__dict__, "_places": None}
+
+    def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of the text's unit vector, without the words that no example holds."""
+        if self._places is None or len(self._places) > 400_000:
+            self._places = {}
+        places, counts = self._places, Counter(words(data))
+        if new := [w for w in counts if w not in places]:
+            for w, at in zip(new, self._find([hashed(w) for w in new]), strict=True):
+                places[w] = (at, *self._find([self.leaning[t] for t in terms(w)[1:] if t in self.leaning])) if self.leaning else (at,)
         found: dict[int, int] = {}
-        for word in set(own):
-            if numbers := known[word]:
-                n = own.count(word)
-                for t in numbers:
-                    found[t] = found.get(t, 0) + n
-        return found
-
-    def score(self, data: bytes) -> tuple[float, tuple[list[int], list[float], list[int]]]:
+        rare = 0.0
+        for w, n in counts.items():
+            for at in places[w]:
+                if at < 0:
+                    rare += (1 + math.log(n)) ** 2
+                else:
+                    found[at] = found.get(at, 0) + n
+        own, n = np.fromiter(found.keys(), "int64", len(found)), np.fromiter(found.values(), "int64", len(found))
+        weights = (1 + np.log(n)) * self.index.idf[own]
+        return own, weights / math.sqrt(float(weights @ weights) + rare * (math.log(1 + len(self.index.ids)) + 1) ** 2 or 1.0)
+
+    def _find(self, hashes: list[int]) -> list[int]:
+        """Numbers of terms, -1 for those that no example holds."""
+        if not hashes or not len(self.hashes):
+            return [-1] * len(hashes)
+        wanted = np.array(hashes, "int64")
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1).tolist()
+
+    def votes(self, texts: list[bytes], without=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each text's neighbours; without: places that are left out, for each text."""
+        out = []
+        for i in range(0, len(texts), AT_ONCE):
+            out += self.index.search([self.vector(x) for x in texts[i : i + AT_ONCE]], NEIGHBOURS, without and without[i : i + AT_ONCE])
+        return out
+
+    def scores(self, texts: list[bytes]) -> list[tuple[float, tuple[list[int], list[float], list[int]]]]:
         """Probability of toxic, and the nearest examples: ids, cosines, labels."""
-        counts = self.counts(data)
-        if not counts or not len(self.index.ids):
+        return [self._score(at, cosines) for at, cosines in self.votes(texts)]
+
+    def _score(self, at, cosines):
+        if not len(at):
             return self.without, ([], [], [])
-        if self._memo is None or len(self._memo) > 50_000:
-            self._memo = {}
-        key = struct.pack(f"{2 * len(counts)}i", *(x for kv in sorted(counts.items()) for x in kv))
-        found = self._memo.get(key)
-        if found is None:
-            at, cosines = self.index.nearest(counts, NEIGHBOURS)
-            v, top = vote(self.index.labels[at], cosines)
-            p = float(sigmoid(curve_inputs(v, top) @ self.curve))
-            found = self._memo[key] = p, (self.index.ids[at[:SHOWN]].tolist(), cosines[:SHOWN].tolist(), self.index.labels[at[:SHOWN]].astype(int).tolist())
-        return found
+        p = float(sigmoid(curve_inputs(*vote(self.index.labels[at], cosines)) @ self.curve))
+        return p, (self.index.ids[at[:SHOWN]].tolist(), cosines[:SHOWN].tolist(), self.index.labels[at[:SHOWN]].astype(int).tolist())
 
 
 def curve_inputs(v: float, top: float) -> np.ndarray:
     return np.array([1.0, 2 * v - 1, (2 * v - 1) * top])
 
 
-def calibrate(index: Index) -> np.ndarray:
-    """Logistic curve over the indexed documents' leave-one-out votes."""
-    inputs, labels = [], []
-    for place, own in enumerate(index.counts):
-        at, cosines = index.nearest(own, NEIGHBOURS, without=place)
-        if len(at):
-            inputs.append(curve_inputs(*vote(index.labels[at], cosines)))
-            labels.append(index.labels[place])
+def calibrate(votes: list[tuple[float, float, float]]) -> np.ndarray:
+    """Logistic curve over the indexed documents' leave-one-out votes: vote, nearest cosine, label."""
     curve = np.array([0.0, 2.0, 2.0])
-    if not inputs:
+    if not votes:
         return curve
-    x, y, prior = np.array(inputs), np.array(labels), curve.copy()
+    x, y, prior = np.array([curve_inputs(v, top) for v, top, _ in votes]), np.array([label for *_, label in votes], "float64"), curve.copy()
     for _ in range(25):
         p = sigmoid(x @ curve)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3), x.T @ (y - p) - 0.5 * (curve - prior))
@@ -222,14 +258,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
 
     def seen_in_toxic(batches):
-        held: dict[str, list] = {}
+        seen: dict[str, list] = {}
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
                 own, done = words(text.as_py() or b""), set()
                 for i, w in enumerate(own):
                     around = hashed(own[i - 1] if i else b"", own[i + 1] if i + 1 < len(own) else b"")
                     for t in terms(w):
-                        row = held.setdefault(t, [0, set(), set()])
+                        row = seen.setdefault(t, [0, set(), set()])
                         if t not in done:
                             done.add(t)
                             row[0] += 1
@@ -238,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
                         if len(row[2]) < LEAST_WORDS:
                             row[2].add(hashed(w))
         # A term with one surrounding in one task can still have others elsewhere.
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([r[0] for r in held.values()], pa.int64()), pa.array([list(r[1]) for r in held.values()], pa.list_(pa.int64())), pa.array([list(r[2]) for r in held.values()], pa.list_(pa.int64()))], names=["term", "docs", "around", "forms"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([r[0] for r in seen.values()], pa.int64()), pa.array([list(r[1]) for r in seen.values()], pa.list_(pa.int64())), pa.array([list(r[2]) for r in seen.values()], pa.list_(pa.int64()))], names=["term", "docs", "around", "forms"])
 
     spread = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     toxic = sample.filter("label = 1").mapInArrow(seen_in_toxic, "term string, docs bigint, around array<bigint>, forms array<bigint>")
@@ -248,13 +284,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     candidates = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
 
     def seen_in_clean(batches):
-        wanted, held = _Known({t: i for i, t in enumerate(candidates)}), [0] * len(candidates)
+        wanted, docs_with = _Known({t: i for i, t in enumerate(candidates)}), [0] * len(candidates)
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
                 for i in {i for w in set(words(text.as_py() or b"")) for i in wanted[w]}:
-                    held[i] += 1
-        at = [i for i, n in enumerate(held) if n]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([held[i] for i in at], pa.int64())], names=["term", "docs"])
+                    docs_with[i] += 1
+        at = [i for i, n in enumerate(docs_with) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([docs_with[i] for i in at], pa.int64())], names=["term", "docs"])
 
     clean = dict(sample.filter("label = 0").mapInArrow(seen_in_clean, "term int, docs bigint").groupBy("term").agg(F.sum("docs")).collect()) if candidates else {}
     scored = []
@@ -262,39 +298,63 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
         other = clean.get(i, 0)
         if n * max(1, n_clean) > 2 * other * n_toxic and (g := ratio(min(n, n_toxic), other, n_toxic, n_clean)) >= LEAST_RATIO:
             scored.append((-g, t))
-    numbers = {t: i for i, (_, t) in enumerate(sorted(scored)[:TERMS])}
-
-    empty = Model(Index.build(numbers, []), np.zeros(3), 0.0)
+    leaning = [t for _, t in sorted(scored)[:TERMS]]
+    starts = {t: hashed(t.encode()) for t in leaning if t.endswith("*")}
 
     def vectors(batches):
         for batch in batches:
-            found = [empty.counts(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "counts"])
+            found = []
+            for x in batch.column("text").cast(pa.binary()):
+                counts: dict[int, int] = {}
+                for w, n in Counter(words(x.as_py() or b"")).items():
+                    for h in (hashed(w), *(starts[t] for t in terms(w)[1:] if t in starts)) if starts else (hashed(w),):
+                        counts[h] = counts.get(h, 0) + n
+                found.append((np.array(list(counts), "int64").tobytes(), np.array(list(counts.values()), "int32").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "label", "terms", "counts"])
+
+    # At most SAMPLE rows, with the counts of their own words.
+    table = sample.mapInArrow(vectors, "doc_id bigint, label int, terms binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    ids, labels_ = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+    sizes = np.array([len(x.as_py()) // 8 for x in table.column("terms")], "int64")
+    terms_, counts = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("terms", "int64"), ("counts", "int32")))
+    del table
+    hashes, terms_ = np.unique(terms_, return_inverse=True)
+    boost = np.where(np.isin(hashes, [hashed(t.encode()) for t in leaning]), BOOST, 1.0)
+    some, bare = sizes > 0, labels_[sizes == 0]
+    index = Index.of({}, ids[some].astype("int64"), labels_[some].astype("float64"), sizes[some], terms_, counts, boost)
+    without = (bare.sum() + 0.5) / (len(bare) + 1) if len(bare) else min(0.49, (n_toxic + 0.5) / (n_toxic + n_clean + 1))
+    model = Model(index, hashes, starts, np.zeros(3), float(without))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def left_out(batches):
+        for batch in batches:
+            own, labels_ = shared.value, batch.column("label").to_pylist()
+            found = own.votes([x.as_py() or b"" for x in batch.column("text").cast(pa.binary())], [np.flatnonzero(own.index.ids == i) for i in batch.column("doc_id").to_pylist()])
+            out = [(*vote(own.index.labels[at], cosines), float(label)) for (at, cosines), label in zip(found, labels_, strict=True) if len(at)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64()) for i in range(3)], names=["vote", "top", "label"])
 
-    all_rows = sample.mapInArrow(vectors, "doc_id bigint, label int, terms array<int>, counts array<int>").collect()
+    votes = sample.repartition(24).mapInArrow(left_out, "vote double, top double, label double").collect() if len(index.ids) else []
     rows.drop()
-    with_terms = [(r["doc_id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in all_rows if r["terms"]]
-    bare = [r["label"] for r in all_rows if not r["terms"]]
-    index = Index.build(numbers, with_terms)
-    without = (sum(bare) + 0.5) / (len(bare) + 1) if bare else min(0.49, (n_toxic + 0.5) / (n_toxic + n_clean + 1))
-    return Model(index, calibrate(index), float(without))
+    model.curve = calibrate(sorted(tuple(r) for r in votes))
+    shared.unpersist()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), evidence: bool = True) -> DataFrame:
     """doc_id, the kept columns, score, predicted (and the nearest examples: ids, cosines, labels) of every row.
 
-    Narrow, with no shuffle. Null and empty texts hold no term and score like any such document. Null ids and
+    Narrow, with no shuffle. Null and empty texts hold no term and score like any such document; every other one is searched. Null ids and
     repeated rows come back as they are; whole texts of any length count.
     """
     kinds = dict(docs.dtypes)
     rows = only(docs, ("doc_id", "bigint"), ("text", "string"), *[(c, kinds[c]) for c in keep if c not in ("doc_id", "text")])
     columns = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    # The model holds at most SAMPLE vectors over TERMS terms.
+    # The model holds at most SAMPLE vectors.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         for batch in batches:
-            found = [shared.value.score(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())]
+            found = shared.value.scores([x.as_py() or b"" for x in batch.column("text").cast(pa.binary())])
             scores = [p for p, _ in found]
             out = [*(batch.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32())]
             names = [*columns, "score", "predicted"]

@@ -77,3 +77,19 @@ def test_holes(spark, docs, rows, clashing, empty_docs, module):
         some = module.train(docs, none, quality.learns(5, 0))
         assert all(0 <= r["score"] <= 1 for r in module.score(docs, some).collect())
     assert module.train(empty_docs, labels, quality.learns(5, 0)) is not None
+
+
+def test_every_word_is_searched(spark):
+    """One toxic passage copied into many documents, and labelled texts without any toxic-leaning word, are found by their own words."""
+    draw = random.Random(3)
+    prose = lambda n: " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
+    passage = "these very words are one passage that somebody copied about"
+    rows = [(i, passage if i % 4 == 0 else prose(30)) for i in range(400)] + [(1000, passage), (1001, "unseen words alone"), (1002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, labels, quality.learns(5, 0))).collect()}
+    assert got[1000]["predicted"] == 1 and np.allclose(got[1000]["example_cosines"], 1) and set(got[1000]["example_labels"]) == {1}
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
+    learnt = [i for i in range(400) if i % 4 and zlib.crc32(str(i).encode()) % 5]
+    assert all(got[i]["example_ids"][0] == i and got[i]["example_cosines"][0] > 0.999 for i in learnt)
+    assert not got[1001]["example_ids"] or got[1001]["example_cosines"][0] < 0.9
