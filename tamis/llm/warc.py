@@ -25,7 +25,12 @@ RECORD_END = "\r\n\r\n"
 NO_DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for urls
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: Comments, script and style run to the end of the page where they are not closed; a title needs its end tag.
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>.*?</title\s*>", re.I | re.S)
+#: Tags of elements that are hidden only as far as they are closed.
+PARTS = re.compile(r"</?(noscript|template|svg)(?=[\s/>])[^>]*>", re.I)
+#: A head up to its end tag, if no body element begins before that; else its text belongs to the body.
+HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?:(?!<(?!(?:base|basefont|bgsound|link|meta|noframes|noscript|template)[\s/>])[a-z]).)*?</head\s*>", re.I | re.S)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
 BLANKS = re.compile(r"[^\S\n]+")
@@ -49,10 +54,36 @@ def digest(data: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """The visible text: hidden elements go, block elements end lines, entities are resolved, blanks collapse."""
-    text = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
+    text = TAG.sub("", BREAK.sub("\n", HEAD.sub(" ", without_parts(HIDDEN.sub(" ", page)))))
     return LINES.sub("\n", BLANKS.sub(" ", entities.unescape(text).replace("\r", "\n"))).strip()
 
 
+def without_parts(page: str) -> str:
+    """The page without closed noscript, template and svg elements; tags that close themselves or are never closed hide nothing."""
+    open_: list[tuple[str, int]] = []
+    spans: list[tuple[int, int]] = []
+    depth = dict.fromkeys(("noscript", "template", "svg"), 0)
+    for m in PARTS.finditer(page):
+        name = m[1].lower()
+        if m[0][1] != "/":
+            if not m[0].endswith("/>"):
+                open_.append((name, m.start()))
+                depth[name] += 1
+        elif depth[name]:
+            while (last := open_.pop())[0] != name:
+                depth[last[0]] -= 1
+            depth[name] -= 1
+            start = last[1]
+            while spans and spans[-1][0] >= start:
+                spans.pop()
+            spans.append((start, m.end()))
+    out, at = [], 0
+    for start, end in spans:
+        out += [page[at:start], " "]
+        at = end
+    return "".join(out) + page[at:]
+
+
 def one_line(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 

@@ -137,3 +137,14 @@ def test_text_like_a_parser(spark):
         parser = Text()
         parser.feed(p["html"])
         assert "".join(warc.plain_text(p["html"]).split()) == "".join("".join(parser.out).split())
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>Hello</p>", "Hello"), ("<head><title>T</title><link rel=x><p>Hello</p><div>more</div>", "Hello\nmore"),
+    ("<head><title>T</title>Hello", "Hello"), ("<title>T</title><p>Hello", "Hello"), ("<head><title>T <b></title></head><p>Hello", "Hello"), ("<head><style>p{}</style></head>Hello", "Hello"),
+    ("one <svg width=1 /> two", "one two"), ("one <svg><path/> two", "one two"), ("one <svg><svg><text>no</text></svg>no</svg> two", "one two"), ("one <svg>two <svg>no</svg> three", "one two three"),
+    ("one <noscript>two", "one two"), ("one <template/>two<template>no</template> three", "one two three"), ("<svg>one <noscript></svg>two</noscript>", "two"),
+    ("one <script>no", "one"), ("one <style>no", "one"), ("one <!-- no", "one"), ("<header>one</header>", "one"),
+])
+def test_tags_left_open(page, text):
+    assert warc.plain_text(page) == text
