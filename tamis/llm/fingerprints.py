@@ -3,7 +3,8 @@
 Every k-gram of tokens is hashed; in each window of w neighbouring k-grams the smallest hash is chosen, the rightmost
 one on ties, and its position kept. Two texts that share a run of w + k - 1 tokens share a chosen hash.
 
-Tokens are words, with k = 5 and w = 8. Texts of at most SHORT code points carry a second grain, their code points
+Tokens are words, with k = 5 and w = 8; a word of more than RUN code points counts as that many tokens, its code
+points, in texts of any length, so that texts with few blanks are told by their code points. Texts of at most SHORT code points carry a second grain, their code points
 with k = 6 and w = 4, since few of their word k-grams survive an edit; two texts are compared on code points where
 both carry that grain, else on words.
 
@@ -23,6 +24,8 @@ from tamis.llm.common import only
 WORD_GRAM, WORD_WINDOW = 5, 8
 CHAR_GRAM, CHAR_WINDOW = 6, 4
 SHORT = 600
+#: Code points of the longest word that is one token.
+RUN = 24
 #: Rows of a bucket of neighbouring ids, and buckets at most (their edges are broadcast).
 ROWS, BUCKETS = 500, 10_000
 #: Parts that the rows of one crowded id are spread over.
@@ -53,7 +56,10 @@ def chosen(tokens: Column, gram: int, window: int) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Words; those of more than RUN code points as their code points."""
+    apart = lambda w: F.when(F.length(w) > RUN, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))
+    found = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return let(found, lambda t: F.when(F.exists(t, lambda w: F.octet_length(w) > RUN), F.flatten(F.transform(t, apart))).otherwise(t))
 
 
 def prints(text: Column) -> Column:

@@ -84,3 +84,12 @@ def test_crowded_ids_and_nulls(spark, monkeypatch):
     assert fp.edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fp.edited(spark.createDataFrame([(1, "alone in here")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
+
+
+@pytest.mark.parametrize("letters", ["天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_long_texts_without_blanks(spark, letters):
+    """Texts of several thousand code points and no blank are near their edits, and far from each other."""
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choice(letters) for _ in range(4000))) for i in range(3)]
+    for r in fp.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert 0.3 < r["near_edited"] < 1 and r["near_next"] < 0.1
