@@ -1,18 +1,20 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with inverted lists and rows of frequent terms.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
 Fitting (on at most SAMPLE labelled documents):
 
 * Every word of a labelled document is a term. Words and word starts ("idio*") that stand out among toxic examples by
   the log-likelihood ratio lean toxic and weigh BOOST times as much; such starts are terms too. What counts for leaning
-  is how many different surroundings a term has there; a word start must begin several different words.
-* Labelled documents become unit TF-IDF vectors over all terms: inverted lists of the rarer terms, and rows of the
-  COMMON most frequent ones, where lists would be nearly full.
-
-Scoring: the cosine with every example is the product with the rows, some documents at a time, and the sum of the
-rarer terms' lists; only blocks of examples whose largest cosine reaches the k-th found are ranked, so the neighbours
-are exact. Words that no example holds count in a document's length. Neighbours vote by label, weighted by nearness; a
-logistic curve fitted on the labelled documents' own leave-one-out votes turns vote and nearness into a probability.
-Documents that share no term with an example score the share of toxic ones among examples without words.
+  is how many different surroundings a term has there, so that a passage copied into many documents counts once; a
+  word start must begin several different words.
+* Labelled documents become unit TF-IDF vectors over all terms, ordered so that alike ones (by language and length)
+  lie in one block of BLOCK. The index has inverted lists of the rarer terms, and for the COMMON most frequent ones,
+  whose lists would be nearly full, rows of weights with their largest weight in each block.
+
+Scoring: the rarer terms' lists are summed; with the block maxima of the frequent terms they bound every block. The
+blocks with the highest bounds give a first k-th cosine, and only blocks whose bound reaches it are ranked, so the
+neighbours are exact. Words that no example holds count in a document's length. Neighbours vote by label, weighted
+by nearness; a logistic curve fitted on the labelled documents' own leave-one-out votes turns vote and nearness into a
+probability. Documents that share no term with an example score the share of toxic ones among examples without words.
 """
 
 from __future__ import annotations
@@ -31,15 +33,19 @@ from pyspark.sql import types as T
 from tamis.llm.common import Scratch, only
 from tamis.llm.quality import labelled, sigmoid
 
-#: Labelled documents that the model is fitted on at most, candidate terms, terms that lean toxic.
-SAMPLE, CANDIDATES, TERMS = 20_000, 50_000, 5_000
+#: Labelled documents that the model is fitted on at most; all words of all of them count.
+SAMPLE = 20_000
 #: Neighbours that vote, documents of a block, neighbours shown as evidence.
 NEIGHBOURS, BLOCK, SHOWN = 15, 64, 5
-#: Frequent terms that are kept in rows, documents searched at once, weight of terms that lean toxic.
-COMMON, AT_ONCE, BOOST = 384, 64, 6.0
-#: Least log-likelihood ratio of a term (a chance of one in 10^6), least words that a word start begins, most surroundings counted.
-LEAST_RATIO, LEAST_WORDS, CONTEXTS = 24.0, 4, 256
+#: Frequent terms that are kept in rows, groups of alike documents, documents searched at once, weight of terms that lean toxic.
+COMMON, ALIKE, AT_ONCE, BOOST = 512, 8, 64, 6.0
+#: Blocks whose documents give the first k-th cosine, and room for single precision in the bounds.
+FIRST, ROOM = 3, 1e-4
+#: Least log-likelihood ratio of a term (a chance of one in 10^6), least words that a word start begins, least surroundings.
+LEAST_RATIO, LEAST_WORDS, LEAST_SEEN = 24.0, 4, 3
 STARTS = (4, 5, 6)
+#: Words that a worker remembers the terms of.
+KNOWN = 400_000
 #: Words are runs of ASCII letters, digits and all other letters beyond ASCII, in lower case.
 _BLANK = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
@@ -48,10 +54,10 @@ def words(data: bytes) -> list[bytes]:
     return data.decode().lower().encode().translate(_BLANK).split()
 
 
-def terms(word: bytes) -> list[str]:
-    """The word, then its starts with a star."""
+def starts(word: bytes) -> list[str]:
+    """The word's starts, with a star."""
     s = word.decode()
-    return [s, *(s[:n] + "*" for n in STARTS if len(s) > n)]
+    return [s[:n] + "*" for n in STARTS if len(s) > n]
 
 
 def ratio(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
@@ -64,104 +70,124 @@ def ratio(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
     return 2 * total
 
 
-class _Known(dict):
-    """word -> ids of its terms in the model."""
-
-    def __init__(self, numbers: dict[str, int]):
-        super().__init__()
-        self.numbers = numbers
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = tuple(self.numbers[t] for t in terms(word) if t in self.numbers)
-        return found
-
-
 @dataclass
 class Index:
-    """Unit vectors over numbered terms, by blocks of BLOCK documents."""
+    """Unit vectors over numbered terms, in blocks of BLOCK alike documents."""
 
-    numbers: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
+    order: np.ndarray = field(repr=False)  # [place]: the document's number, by which ties go
     row: np.ndarray = field(repr=False)  # [term]: its row among the frequent terms, or -1
     starts: np.ndarray = field(repr=False)  # [term]: where its list starts; lists of frequent terms are empty
     docs: np.ndarray = field(repr=False)
     weights: np.ndarray = field(repr=False)
-    common: np.ndarray = field(repr=False)  # [document, frequent term]
-    counts: list[dict[int, int]] = field(repr=False)  # by place, where built from dicts
-
-    @staticmethod
-    def build(numbers: dict[str, int], rows: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """rows: id, label, {term: count}, each with a term."""
-        rows = sorted(rows, key=lambda r: (r[0], r[1], sorted(r[2].items())))
-        sizes = [len(r[2]) for r in rows]
-        terms_, counts = (np.array([x for r in rows for x in f(r[2])], "int64") for f in (dict.keys, dict.values))
-        found = Index.of(numbers, np.array([r[0] for r in rows], "int64"), np.array([r[1] for r in rows], "float64"), np.array(sizes, "int64"), terms_, counts, np.ones(len(numbers)))
-        found.counts = [r[2] for r in rows]
-        return found
+    common: np.ndarray = field(repr=False)  # [place, frequent term]
+    most: np.ndarray = field(repr=False)  # [block, frequent term]: the largest weight
+    centres: np.ndarray = field(repr=False)  # [group of alike documents, frequent term]
 
     @staticmethod
-    def of(numbers, ids, labels, sizes, terms_, counts, boost) -> Index:
+    def of(ids, labels, sizes, terms_, counts, boost) -> Index:
         """The terms and counts of all documents, one after the other, sizes of each; boost: a weight for each term."""
         n, v = len(ids), len(boost)
         df = np.bincount(terms_, minlength=v)
         idf = (np.log((1 + n) / (1 + df)) + 1) * boost
-        place = np.repeat(np.arange(n, dtype="int32"), sizes)
+        number = np.repeat(np.arange(n, dtype="int32"), sizes)
         w = (1 + np.log(counts)) * idf[terms_]
-        w = (w / np.sqrt(np.bincount(place, w * w, n))[place]).astype("float32")
+        w = (w / np.sqrt(np.bincount(number, w * w, n))[number]).astype("float32")
         blocks = max(1, -(-n // BLOCK))
         often = np.argsort(-df, kind="stable")[:COMMON]
-        often = often[df[often] * 64 > n]
+        often = often[df[often] * BLOCK > n]
         row = np.full(v, -1, "int32")
         row[often] = np.arange(len(often))
         dense = row[terms_] >= 0
         common = np.zeros((blocks * BLOCK, len(often)), "float32")
-        common[place[dense], row[terms_[dense]]] = w[dense]
-        own, at, rest = terms_[~dense], place[~dense], w[~dense]
-        order = np.argsort(own, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=v))])
-        return Index(numbers, idf, ids, labels, row, starts, at[order], rest[order], common, [])
-
-    def nearest(self, counts: dict[int, int], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine above 0; ties go to the earlier place."""
-        return self.search([unit(counts, self.idf)], k, [without])[0]
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without=None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The same for unit vectors; without: for each, a place or several that are left out, or None."""
+        common[number[dense], row[terms_[dense]]] = w[dense]
+        centres = _centres(common[:n])
+        order = np.lexsort((sizes, _nearest(common[:n], centres)))
+        place = np.empty(n, "int32")
+        place[order] = np.arange(n, dtype="int32")
+        common[:n] = common[order]
+        most = common.reshape(blocks, BLOCK, -1).max(1)
+        own, at, rest = terms_[~dense], place[number[~dense]], w[~dense]
+        by_term = np.argsort(own, kind="stable")
+        begins = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=v))])
+        return Index(idf, ids[order], labels[order], order, row, begins, at[by_term], rest[by_term], common, most, centres)
+
+    def groups(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The group of alike documents that each query is nearest to."""
+        return _nearest(self._rows(queries), self.centres)
+
+    def _rows(self, queries) -> np.ndarray:
         q = np.zeros((len(queries), self.common.shape[1]), "float32")
         for i, (own, weights) in enumerate(queries):
             rows = self.row[own]
             q[i, rows[rows >= 0]] = weights[rows >= 0]
+        return q
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each unit vector's k nearest with a cosine above 0; ties go to the smaller number.
+
+        without: for each query, places that are left out, or None. Cosines are sums in single precision, to five places.
+        """
         if self.docs.dtype != np.int64:  # they travel at half the size
             self.docs, self.weights = self.docs.astype("int64"), self.weights.astype("float64")
-        sums = q @ self.common.T
-        return [self._best(*query, sums[i], k, without and without[i]) for i, query in enumerate(queries)]
-
-    def _best(self, own, weights, sums, k, without) -> tuple[np.ndarray, np.ndarray]:
-        lo, size = self.starts[own], self.starts[own + 1] - self.starts[own]
-        lo, size, w = lo[size > 0], size[size > 0], weights[size > 0]
-        if len(lo):
-            at = np.repeat(lo - np.cumsum(size) + size, size)
-            at += np.arange(len(at))
-            add = np.repeat(w, size)
-            add *= self.weights.take(at)
-            sums = sums + np.bincount(self.docs.take(at), add, len(sums))
-        if without is not None:
-            sums[without] = 0.0
-        tops = sums.reshape(-1, BLOCK).max(1)
-        least = max(0.0, np.partition(tops, -k)[-k]) if len(tops) > k else 0.0
-        at = np.flatnonzero((sums >= least) & (sums > 0))
-        best = at[np.lexsort((at, -sums[at]))[:k]]
-        return best, np.minimum(sums[best].astype("float64"), 1.0)
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own = np.array(sorted(counts), "int64")
-    w = np.array([1 + math.log(counts[t]) for t in own]) * idf[own]
-    return own, w / math.sqrt(float(w @ w))
+        q, size, blocks = self._rows(queries), len(self.common), len(self.most)
+        sums = np.stack([self._rare(*query, size) for query in queries])
+        bounds = q @ self.most.T + sums.reshape(len(q), blocks, BLOCK).max(2)
+        first = min(FIRST, blocks)
+        begin = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
+        open_ = np.zeros(blocks, bool)
+        for i, own in enumerate(begin):
+            places = (own[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = self.common.reshape(blocks, BLOCK, -1)[own].reshape(len(places), -1) @ q[i] + sums[i, places]
+            if without is not None and without[i] is not None:
+                found[np.isin(places, without[i])] = 0.0
+            least = np.partition(found, -k)[-k] if len(found) > k else 0.0
+            open_ |= bounds[i] >= max(least - ROOM, 1e-9)
+        # The blocks that a query of the batch needs, as runs of neighbours.
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], open_.view("int8"), [0]]))) * BLOCK
+        spans = list(zip(edges[::2], edges[1::2], strict=True))
+        places = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, "int64")
+        exact = np.concatenate([q @ self.common[a:b].T + sums[:, a:b] for a, b in spans], axis=1) if spans else np.zeros((len(q), 0), "float32")
+        return [self._best(exact[i], places, k, without and without[i]) for i in range(len(q))]
+
+    def _rare(self, own, weights, size) -> np.ndarray:
+        begin, end = self.starts[own], self.starts[own + 1]
+        some = end > begin
+        if not some.any():
+            return np.zeros(size, "float32")
+        begin, end = begin[some], end[some]
+        spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        add = np.repeat(weights[some], end - begin)
+        add *= np.concatenate([self.weights[x] for x in spans])
+        return np.bincount(np.concatenate([self.docs[x] for x in spans]), add, size).astype("float32")
+
+    def _best(self, found, places, k, without) -> tuple[np.ndarray, np.ndarray]:
+        if without is not None and len(without):
+            found = np.where(np.isin(places, without), 0.0, found)
+        least = max(np.partition(found, -k)[-k] - ROOM, 1e-9) if len(found) > k else 1e-9
+        at = np.flatnonzero(found >= least)
+        cosines, at = np.round(np.minimum(found[at].astype("float64"), 1.0), 5), places[at]
+        best = np.lexsort((self.order[at], -cosines))[:k]
+        best = best[cosines[best] > 0]
+        return at[best], cosines[best]
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (rows @ centres.T).argmax(1) if len(centres) else np.zeros(len(rows), "int64")
+
+
+def _centres(rows: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Spherical k-means from evenly spaced rows; it only steers which blocks are alike."""
+    centres = rows[np.linspace(0, len(rows) - 1, min(ALIKE, len(rows))).astype(int)].copy() if len(rows) else rows
+    for _ in range(rounds):
+        near = _nearest(rows, centres)
+        for g in range(len(centres)):
+            if (own := near == g).any():
+                mean = rows[own].mean(0)
+                centres[g] = mean / (np.sqrt(mean @ mean) + 1e-9)
+    return centres
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
@@ -174,32 +200,38 @@ def vote(labels: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
 class Model:
     index: Index
     hashes: np.ndarray  # sorted hashes of the terms; a term's number is its place
-    leaning: dict[str, int]  # word starts that lean toxic
+    leaning: dict[str, int]  # word starts that lean toxic, with their hashes
     curve: np.ndarray
     without: float  # score of documents that share no term with an example
     _places: dict | None = None
+    _more: dict | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_places": None}
+        return {**self.__dict__, "_places": None, "_more": None}
 
     def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the text's unit vector, without the words that no example holds."""
-        if self._places is None or len(self._places) > 400_000:
-            self._places = {}
-        places, counts = self._places, Counter(words(data))
+        if self._places is None or len(self._places) > KNOWN:
+            self._places, self._more = {}, {}
+        places, more, counts = self._places, self._more, Counter(words(data))
         if new := [w for w in counts if w not in places]:
             for w, at in zip(new, self._find([hashed(w) for w in new]), strict=True):
-                places[w] = (at, *self._find([self.leaning[t] for t in terms(w)[1:] if t in self.leaning])) if self.leaning else (at,)
-        found: dict[int, int] = {}
-        rare = 0.0
-        for w, n in counts.items():
-            for at in places[w]:
-                if at < 0:
-                    rare += (1 + math.log(n)) ** 2
-                else:
-                    found[at] = found.get(at, 0) + n
-        own, n = np.fromiter(found.keys(), "int64", len(found)), np.fromiter(found.values(), "int64", len(found))
-        weights = (1 + np.log(n)) * self.index.idf[own]
+                places[w] = at
+                if self.leaning and (own := [self.leaning[t] for t in starts(w) if t in self.leaning]):
+                    more[w] = self._find(own)
+        own = np.fromiter(map(places.__getitem__, counts), "int64", len(counts))
+        n = np.fromiter(counts.values(), "int64", len(counts))
+        tf = 1 + np.log(n)
+        rare = float(np.square(tf[own < 0]).sum())
+        own, n, tf = own[own >= 0], n[own >= 0], tf[own >= 0]
+        if more and (others := counts.keys() & more.keys()):
+            extra: dict[int, int] = {}
+            for w in others:
+                for at in more[w]:
+                    extra[at] = extra.get(at, 0) + counts[w]
+            own = np.concatenate([own, np.array(list(extra), "int64")])
+            tf = np.concatenate([tf, 1 + np.log(np.array(list(extra.values()), "int64"))])
+        weights = tf * self.index.idf[own]
         return own, weights / math.sqrt(float(weights @ weights) + rare * (math.log(1 + len(self.index.ids)) + 1) ** 2 or 1.0)
 
     def _find(self, hashes: list[int]) -> list[int]:
@@ -211,10 +243,19 @@ class Model:
         return np.where(self.hashes[at] == wanted, at, -1).tolist()
 
     def votes(self, texts: list[bytes], without=None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and cosines of each text's neighbours; without: places that are left out, for each text."""
-        out = []
-        for i in range(0, len(texts), AT_ONCE):
-            out += self.index.search([self.vector(x) for x in texts[i : i + AT_ONCE]], NEIGHBOURS, without and without[i : i + AT_ONCE])
+        """Places and cosines of each text's neighbours; without: places that are left out, for each text.
+
+        Texts near the same group of examples are searched together, since they need the same blocks.
+        """
+        out: list = [None] * len(texts)
+        for first in range(0, len(texts), 16 * AT_ONCE):
+            vectors = [self.vector(x) for x in texts[first : first + 16 * AT_ONCE]]
+            order = np.argsort(self.index.groups(vectors), kind="stable")
+            for i in range(0, len(order), AT_ONCE):
+                own = order[i : i + AT_ONCE]
+                found = self.index.search([vectors[j] for j in own], NEIGHBOURS, without and [without[first + j] for j in own])
+                for j, x in zip(own, found, strict=True):
+                    out[first + j] = x
         return out
 
     def scores(self, texts: list[bytes]) -> list[tuple[float, tuple[list[int], list[float], list[int]]]]:
@@ -256,50 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     sample = rows.df()
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-
-    def seen_in_toxic(batches):
-        seen: dict[str, list] = {}
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                own, done = words(text.as_py() or b""), set()
-                for i, w in enumerate(own):
-                    around = hashed(own[i - 1] if i else b"", own[i + 1] if i + 1 < len(own) else b"")
-                    for t in terms(w):
-                        row = seen.setdefault(t, [0, set(), set()])
-                        if t not in done:
-                            done.add(t)
-                            row[0] += 1
-                        if len(row[1]) < CONTEXTS:
-                            row[1].add(around)
-                        if len(row[2]) < LEAST_WORDS:
-                            row[2].add(hashed(w))
-        # A term with one surrounding in one task can still have others elsewhere.
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([r[0] for r in seen.values()], pa.int64()), pa.array([list(r[1]) for r in seen.values()], pa.list_(pa.int64())), pa.array([list(r[2]) for r in seen.values()], pa.list_(pa.int64()))], names=["term", "docs", "around", "forms"])
-
-    spread = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    toxic = sample.filter("label = 1").mapInArrow(seen_in_toxic, "term string, docs bigint, around array<bigint>, forms array<bigint>")
-    toxic = toxic.groupBy("term").agg(F.sum("docs").alias("docs"), spread("around").alias("around"), spread("forms").alias("forms"))
-    several = ~F.endswith("term", F.lit("*")) | (F.col("forms") >= LEAST_WORDS)
-    toxic = toxic.filter(several).select("term", F.least("docs", "around").alias("n")).filter("n >= 3")
-    candidates = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-
-    def seen_in_clean(batches):
-        wanted, docs_with = _Known({t: i for i, t in enumerate(candidates)}), [0] * len(candidates)
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                for i in {i for w in set(words(text.as_py() or b"")) for i in wanted[w]}:
-                    docs_with[i] += 1
-        at = [i for i, n in enumerate(docs_with) if n]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([docs_with[i] for i in at], pa.int64())], names=["term", "docs"])
-
-    clean = dict(sample.filter("label = 0").mapInArrow(seen_in_clean, "term int, docs bigint").groupBy("term").agg(F.sum("docs")).collect()) if candidates else {}
-    scored = []
-    for i, (t, n) in enumerate(candidates.items()):
-        other = clean.get(i, 0)
-        if n * max(1, n_clean) > 2 * other * n_toxic and (g := ratio(min(n, n_toxic), other, n_toxic, n_clean)) >= LEAST_RATIO:
-            scored.append((-g, t))
-    leaning = [t for _, t in sorted(scored)[:TERMS]]
-    starts = {t: hashed(t.encode()) for t in leaning if t.endswith("*")}
+    leaning = _leaning(sample, n_toxic, n_clean)
+    begun = {t: hashed(t.encode()) for t in leaning if t.endswith("*")}
 
     def vectors(batches):
         for batch in batches:
@@ -307,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
             for x in batch.column("text").cast(pa.binary()):
                 counts: dict[int, int] = {}
                 for w, n in Counter(words(x.as_py() or b"")).items():
-                    for h in (hashed(w), *(starts[t] for t in terms(w)[1:] if t in starts)) if starts else (hashed(w),):
+                    for h in (hashed(w), *(begun[t] for t in starts(w) if t in begun)) if begun else (hashed(w),):
                         counts[h] = counts.get(h, 0) + n
                 found.append((np.array(list(counts), "int64").tobytes(), np.array(list(counts.values()), "int32").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "label", "terms", "counts"])
@@ -315,15 +314,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     # At most SAMPLE rows, with the counts of their own words.
     table = sample.mapInArrow(vectors, "doc_id bigint, label int, terms binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
     ids, labels_ = (table.column(c).to_numpy() for c in ("doc_id", "label"))
-    sizes = np.array([len(x.as_py()) // 8 for x in table.column("terms")], "int64")
+    lengths = np.array([len(x.as_py()) // 8 for x in table.column("terms")], "int64")
     terms_, counts = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("terms", "int64"), ("counts", "int32")))
     del table
     hashes, terms_ = np.unique(terms_, return_inverse=True)
     boost = np.where(np.isin(hashes, [hashed(t.encode()) for t in leaning]), BOOST, 1.0)
-    some, bare = sizes > 0, labels_[sizes == 0]
-    index = Index.of({}, ids[some].astype("int64"), labels_[some].astype("float64"), sizes[some], terms_, counts, boost)
+    some, bare = lengths > 0, labels_[lengths == 0]
+    index = Index.of(ids[some].astype("int64"), labels_[some].astype("float64"), lengths[some], terms_, counts, boost)
     without = (bare.sum() + 0.5) / (len(bare) + 1) if len(bare) else min(0.49, (n_toxic + 0.5) / (n_toxic + n_clean + 1))
-    model = Model(index, hashes, starts, np.zeros(3), float(without))
+    model = Model(index, hashes, begun, np.zeros(3), float(without))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def left_out(batches):
@@ -340,6 +339,64 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     return model
 
 
+def _leaning(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """The words and word starts of the sample that lean toxic; all of its words are looked at."""
+
+    def seen_in_toxic(batches):
+        for batch in batches:
+            found: dict[str, list] = {}
+            for text in batch.column("text").cast(pa.binary()):
+                own, done = words(text.as_py() or b""), set()
+                for i, w in enumerate(own):
+                    around, form = hashed(own[i - 1] if i else b"", own[i + 1] if i + 1 < len(own) else b""), hashed(w)
+                    for t in (w.decode(), *starts(w)):
+                        row = found.setdefault(t, [0, set(), set()])
+                        if t not in done:
+                            done.add(t)
+                            row[0] += 1
+                        row[1].add(around)
+                        if t[-1] == "*":
+                            row[2].add(form)
+            out = [(t, kind, x, 0) for t, r in found.items() for kind in (1, 2) for x in r[kind]] + [(t, 0, 0, r[0]) for t, r in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "kind", "value", "docs"])
+
+    # One row for each term and surrounding, then one for each term: a frequent word is no single group.
+    toxic = sample.filter("label = 1").mapInArrow(seen_in_toxic, "term string, kind int, value bigint, docs bigint")
+    toxic = toxic.groupBy("term", "kind", "value").agg(F.sum("docs").alias("docs"))
+    toxic = toxic.groupBy("term").agg(F.sum("docs").alias("docs"), F.count_if(F.col("kind") == 1).alias("around"), F.count_if(F.col("kind") == 2).alias("forms"))
+    several = ~F.endswith("term", F.lit("*")) | (F.col("forms") >= LEAST_WORDS)
+    toxic = toxic.filter(several).select("term", F.least("docs", "around").alias("n")).filter(F.col("n") >= LEAST_SEEN)
+    seen = {r["term"]: r["n"] for r in toxic.collect()}
+    if not seen or not n_toxic:
+        return []
+    shared = sample.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(seen)})
+
+    def seen_in_clean(batches):
+        numbers, known = shared.value, {}
+        counts = np.zeros(len(numbers), "int64")
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                held: set[int] = set()
+                for w in set(words(text.as_py() or b"")):
+                    if (own := known.get(w)) is None:
+                        own = known[w] = tuple(numbers[t] for t in (w.decode(), *starts(w)) if t in numbers)
+                    held.update(own)
+                counts[list(held)] += 1
+                if len(known) > KNOWN:
+                    known.clear()
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(counts[at])], names=["term", "docs"])
+
+    clean = dict(sample.filter("label = 0").mapInArrow(seen_in_clean, "term int, docs bigint").groupBy("term").agg(F.sum("docs")).collect())
+    shared.unpersist()
+    leaning = []
+    for i, (t, n) in enumerate(seen.items()):
+        other = clean.get(i, 0)
+        if n * max(1, n_clean) > 2 * other * n_toxic and ratio(min(n, n_toxic), other, n_toxic, n_clean) >= LEAST_RATIO:
+            leaning.append(t)
+    return sorted(leaning)
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), evidence: bool = True) -> DataFrame:
     """doc_id, the kept columns, score, predicted (and the nearest examples: ids, cosines, labels) of every row.
 
