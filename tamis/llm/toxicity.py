@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,49 +70,56 @@ def ratio(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
     return 2 * total
 
 
-@dataclass
 class Index:
-    """Unit vectors over numbered terms, in blocks of BLOCK alike documents."""
-
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    order: np.ndarray = field(repr=False)  # [place]: the document's number, by which ties go
-    row: np.ndarray = field(repr=False)  # [term]: its row among the frequent terms, or -1
-    starts: np.ndarray = field(repr=False)  # [term]: where its list starts; lists of frequent terms are empty
-    docs: np.ndarray = field(repr=False)
-    weights: np.ndarray = field(repr=False)
-    common: np.ndarray = field(repr=False)  # [place, frequent term]
-    most: np.ndarray = field(repr=False)  # [block, frequent term]: the largest weight
-    centres: np.ndarray = field(repr=False)  # [group of alike documents, frequent term]
+    """Unit vectors over numbered terms, in blocks of BLOCK alike documents.
+
+    What travels is each term's documents and counts; weights, rows and block maxima are made where it arrives.
+    """
 
     @staticmethod
     def of(ids, labels, sizes, terms_, counts, boost) -> Index:
         """The terms and counts of all documents, one after the other, sizes of each; boost: a weight for each term."""
-        n, v = len(ids), len(boost)
-        df = np.bincount(terms_, minlength=v)
-        idf = (np.log((1 + n) / (1 + df)) + 1) * boost
-        number = np.repeat(np.arange(n, dtype="int32"), sizes)
-        w = (1 + np.log(counts)) * idf[terms_]
-        w = (w / np.sqrt(np.bincount(number, w * w, n))[number]).astype("float32")
+        made, by_term = Index(), np.argsort(terms_, kind="stable")
+        number = np.repeat(np.arange(len(ids)), sizes)[by_term]
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        made.ids, made.labels, made.sizes, made.boost = ids, labels, sizes, boost.astype("float32")
+        made.df, made.number, made.counts = small(np.bincount(terms_, minlength=len(boost))), small(number), small(counts[by_term])
+        made._weigh()
+        return made
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("ids", "labels", "sizes", "boost", "df", "number", "counts")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        n, df, number = len(self.ids), self.df.astype("int64"), self.number.astype("int64")
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * self.boost
+        w = (1 + np.log(self.counts.astype("float64"))) * np.repeat(self.idf, df)
+        w /= np.sqrt(np.bincount(number, w * w, n))[number]
         blocks = max(1, -(-n // BLOCK))
         often = np.argsort(-df, kind="stable")[:COMMON]
         often = often[df[often] * BLOCK > n]
-        row = np.full(v, -1, "int32")
-        row[often] = np.arange(len(often))
-        dense = row[terms_] >= 0
+        #: [term]: its row among the frequent terms, or -1
+        self.row = np.full(len(df), -1, "int32")
+        self.row[often] = np.arange(len(often))
+        row = np.repeat(self.row, df)
+        dense = row >= 0
         common = np.zeros((blocks * BLOCK, len(often)), "float32")
-        common[number[dense], row[terms_[dense]]] = w[dense]
-        centres = _centres(common[:n])
-        order = np.lexsort((sizes, _nearest(common[:n], centres)))
-        place = np.empty(n, "int32")
-        place[order] = np.arange(n, dtype="int32")
-        common[:n] = common[order]
-        most = common.reshape(blocks, BLOCK, -1).max(1)
-        own, at, rest = terms_[~dense], place[number[~dense]], w[~dense]
-        by_term = np.argsort(own, kind="stable")
-        begins = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=v))])
-        return Index(idf, ids[order], labels[order], order, row, begins, at[by_term], rest[by_term], common, most, centres)
+        common[number[dense], row[dense]] = w[dense]
+        self.centres = _centres(common[:n])  # [group of alike documents, frequent term]
+        #: [place]: the document's number, by which ties go
+        self.order = np.lexsort((self.sizes, _nearest(common[:n], self.centres)))
+        place = np.empty(n, "int64")
+        place[self.order] = np.arange(n)
+        common[:n] = common[self.order]
+        self.common = common  # [place, frequent term]
+        self.most = common.reshape(blocks, BLOCK, -1).max(1)  # [block, frequent term]: the largest weight
+        #: [term]: where its list starts; lists of frequent terms are empty
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.row >= 0, 0, df))])
+        self.docs, self.weights = place[number[~dense]], w[~dense]
 
     def groups(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The group of alike documents that each query is nearest to."""
@@ -126,12 +133,10 @@ class Index:
         return q
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without=None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and cosines of each unit vector's k nearest with a cosine above 0; ties go to the smaller number.
+        """Numbers and cosines of each unit vector's k nearest documents with a cosine above 0; ties go to the smaller number.
 
-        without: for each query, places that are left out, or None. Cosines are sums in single precision, to five places.
+        without: for each query, numbers that are left out, or None. Cosines are sums in single precision, to five places.
         """
-        if self.docs.dtype != np.int64:  # they travel at half the size
-            self.docs, self.weights = self.docs.astype("int64"), self.weights.astype("float64")
         q, size, blocks = self._rows(queries), len(self.common), len(self.most)
         sums = np.stack([self._rare(*query, size) for query in queries])
         bounds = q @ self.most.T + sums.reshape(len(q), blocks, BLOCK).max(2)
@@ -142,7 +147,7 @@ class Index:
             places = (own[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             found = self.common.reshape(blocks, BLOCK, -1)[own].reshape(len(places), -1) @ q[i] + sums[i, places]
             if without is not None and without[i] is not None:
-                found[np.isin(places, without[i])] = 0.0
+                found[np.isin(self._numbers(places), without[i])] = 0.0
             least = np.partition(found, -k)[-k] if len(found) > k else 0.0
             open_ |= bounds[i] >= max(least - ROOM, 1e-9)
         # The blocks that a query of the batch needs, as runs of neighbours.
@@ -152,6 +157,9 @@ class Index:
         exact = np.concatenate([q @ self.common[a:b].T + sums[:, a:b] for a, b in spans], axis=1) if spans else np.zeros((len(q), 0), "float32")
         return [self._best(exact[i], places, k, without and without[i]) for i in range(len(q))]
 
+    def _numbers(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places < len(self.order), self.order[np.minimum(places, len(self.order) - 1)], -1)
+
     def _rare(self, own, weights, size) -> np.ndarray:
         begin, end = self.starts[own], self.starts[own + 1]
         some = end > begin
@@ -165,13 +173,13 @@ class Index:
 
     def _best(self, found, places, k, without) -> tuple[np.ndarray, np.ndarray]:
         if without is not None and len(without):
-            found = np.where(np.isin(places, without), 0.0, found)
+            found = np.where(np.isin(self._numbers(places), without), 0.0, found)
         least = max(np.partition(found, -k)[-k] - ROOM, 1e-9) if len(found) > k else 1e-9
         at = np.flatnonzero(found >= least)
         cosines, at = np.round(np.minimum(found[at].astype("float64"), 1.0), 5), places[at]
         best = np.lexsort((self.order[at], -cosines))[:k]
         best = best[cosines[best] > 0]
-        return at[best], cosines[best]
+        return self.order[at[best]], cosines[best]
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -243,7 +251,7 @@ class Model:
         return np.where(self.hashes[at] == wanted, at, -1).tolist()
 
     def votes(self, texts: list[bytes], without=None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and cosines of each text's neighbours; without: places that are left out, for each text.
+        """Numbers and cosines of each text's neighbours; without: numbers that are left out, for each text.
 
         Texts near the same group of examples are searched together, since they need the same blocks.
         """
@@ -340,61 +348,63 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
 
 
 def _leaning(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """The words and word starts of the sample that lean toxic; all of its words are looked at."""
+    """The words and word starts of the sample that lean toxic; all of its words are looked at.
+
+    The ratio grows with the number of toxic documents, so only terms that pass on it have their surroundings counted.
+    """
+    toxic = _documents_with(sample.filter("label = 1"), None).filter(F.col("docs") >= LEAST_SEEN)
+    toxic = {r["term"]: r["docs"] for r in toxic.collect()}
+    if not toxic:
+        return []
+    clean = {r["term"]: r["docs"] for r in _documents_with(sample.filter("label = 0"), set(toxic)).collect()}
+
+    def leans(t: str, n: int) -> bool:
+        other = clean.get(t, 0)
+        return n * max(1, n_clean) > 2 * other * n_toxic and ratio(min(n, n_toxic), other, n_toxic, n_clean) >= LEAST_RATIO
 
-    def seen_in_toxic(batches):
+    able = {t for t, n in toxic.items() if leans(t, n)}
+    shared = sample.sparkSession.sparkContext.broadcast(able)
+
+    def surroundings(batches):
         for batch in batches:
-            found: dict[str, list] = {}
+            found: set[tuple[str, int, int]] = set()
             for text in batch.column("text").cast(pa.binary()):
-                own, done = words(text.as_py() or b""), set()
+                own = words(text.as_py() or b"")
                 for i, w in enumerate(own):
-                    around, form = hashed(own[i - 1] if i else b"", own[i + 1] if i + 1 < len(own) else b""), hashed(w)
                     for t in (w.decode(), *starts(w)):
-                        row = found.setdefault(t, [0, set(), set()])
-                        if t not in done:
-                            done.add(t)
-                            row[0] += 1
-                        row[1].add(around)
-                        if t[-1] == "*":
-                            row[2].add(form)
-            out = [(t, kind, x, 0) for t, r in found.items() for kind in (1, 2) for x in r[kind]] + [(t, 0, 0, r[0]) for t, r in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "kind", "value", "docs"])
+                        if t in shared.value:
+                            found.add((t, 0, hashed(own[i - 1] if i else b"", own[i + 1] if i + 1 < len(own) else b"")))
+                            found.add((t, 1, hashed(w)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["term", "kind", "value"])
 
     # One row for each term and surrounding, then one for each term: a frequent word is no single group.
-    toxic = sample.filter("label = 1").mapInArrow(seen_in_toxic, "term string, kind int, value bigint, docs bigint")
-    toxic = toxic.groupBy("term", "kind", "value").agg(F.sum("docs").alias("docs"))
-    toxic = toxic.groupBy("term").agg(F.sum("docs").alias("docs"), F.count_if(F.col("kind") == 1).alias("around"), F.count_if(F.col("kind") == 2).alias("forms"))
-    several = ~F.endswith("term", F.lit("*")) | (F.col("forms") >= LEAST_WORDS)
-    toxic = toxic.filter(several).select("term", F.least("docs", "around").alias("n")).filter(F.col("n") >= LEAST_SEEN)
-    seen = {r["term"]: r["n"] for r in toxic.collect()}
-    if not seen or not n_toxic:
-        return []
-    shared = sample.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(seen)})
+    seen = sample.filter("label = 1").mapInArrow(surroundings, "term string, kind int, value bigint").distinct()
+    seen = seen.groupBy("term").agg(F.count_if(F.col("kind") == 0).alias("around"), F.count_if(F.col("kind") == 1).alias("forms")).collect()
+    shared.unpersist()
+    kept = {r["term"]: min(toxic[r["term"]], r["around"]) for r in seen if not r["term"].endswith("*") or r["forms"] >= LEAST_WORDS}
+    return sorted(t for t, n in kept.items() if n >= LEAST_SEEN and leans(t, n))
+
 
-    def seen_in_clean(batches):
-        numbers, known = shared.value, {}
-        counts = np.zeros(len(numbers), "int64")
+def _documents_with(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
+    """term, docs: how many texts hold each (wanted) word and word start."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def counted(batches):
+        known: dict[bytes, tuple[str, ...]] = {}
         for batch in batches:
+            counts: Counter[str] = Counter()
             for text in batch.column("text").cast(pa.binary()):
-                held: set[int] = set()
+                held: set[str] = set()
                 for w in set(words(text.as_py() or b"")):
                     if (own := known.get(w)) is None:
-                        own = known[w] = tuple(numbers[t] for t in (w.decode(), *starts(w)) if t in numbers)
+                        own = known[w] = tuple(t for t in (w.decode(), *starts(w)) if shared.value is None or t in shared.value)
                     held.update(own)
-                counts[list(held)] += 1
+                counts.update(held)
                 if len(known) > KNOWN:
                     known.clear()
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(counts[at])], names=["term", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "docs"])
 
-    clean = dict(sample.filter("label = 0").mapInArrow(seen_in_clean, "term int, docs bigint").groupBy("term").agg(F.sum("docs")).collect())
-    shared.unpersist()
-    leaning = []
-    for i, (t, n) in enumerate(seen.items()):
-        other = clean.get(i, 0)
-        if n * max(1, n_clean) > 2 * other * n_toxic and ratio(min(n, n_toxic), other, n_toxic, n_clean) >= LEAST_RATIO:
-            leaning.append(t)
-    return sorted(leaning)
+    return texts.mapInArrow(counted, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), evidence: bool = True) -> DataFrame:
