@@ -2,8 +2,8 @@
 
 A document's set holds its distinct word shingles. If two sets of sizes x, y have a Jaccard similarity of at least t,
 then under ANY order of all tokens the first x - ceil(t x) + 1 tokens of one and the first y - ceil(t y) + 1 of the
-other share a token. The orders used here put rare tokens first (by levels of a count over the whole corpus) and
-differ in how a hash breaks ties; a pair must pass under each of them before it is verified.
+other share a token. The first order puts rare tokens first (by levels of a count over the whole corpus), the others
+follow a hash each; a pair must share a prefix token under every one of them before its sets are read.
 
 1. Documents with equal word sequences form a class; only one document of a class goes on in a task.
 2. A count sketch of all shingles gives each token its level. It is summed by segments and is broadcast as at most
@@ -11,9 +11,12 @@ differ in how a hash breaks ties; a pair must pass under each of them before it
 3. Prefix tokens under the first order are dealt by token. What remains are tokens that several classes hold.
 4. Each class is first paired with the most central class among those it shares a token with. Verified pairs
    contract; then the pairs of classes in different components that still share a token are verified too, and no
-   others are made. So a group of thousands of near copies costs about one pair each, and no link is lost.
-   Before its sets are read, a pair must pass an exact bound on the sets' difference, told by a bit for each token.
-5. Components of the links, by stars.
+   others are made. So a group of thousands of near copies costs about one pair each, and no component is missed.
+   A token that many classes hold is split into blocks of classes, and each two blocks meet in a task of their own.
+5. The prefixes under the further orders travel with each class (16 bits a token); pairs whose prefixes share none
+   under one of the orders go, and so do pairs that fail an exact bound on the sets' difference, told by a bit for
+   each token. Only then are sets read and compared.
+6. Components of the links, by stars.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ BUCKET, PREFIX = 400_000, 110
 #: log2 of the bits that tell which classes are candidates.
 MOST_FLAGS = 26
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Classes of a block of a token that many hold.
+HOLDERS = 2000
 #: Odd multipliers, each of which makes an order of its own.
 ORDERS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -71,10 +76,27 @@ def prefix(n: int, t: tuple[int, int]) -> int:
     return n + (-t[0] * n // t[1]) + 1 if n else 0
 
 
-def keys(tokens: np.ndarray, levels: np.ndarray, order: np.uint64 | None) -> np.ndarray:
-    """The place of each token in a global order: its level, then a hash of it."""
+def keys(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The place of each token in the first order: its level, then its hash."""
     level = levels[tokens & np.uint64(len(levels) - 1)].astype("uint64")
-    return (level << np.uint64(56)) | ((tokens if order is None else tokens * order) >> np.uint64(8))
+    return (level << np.uint64(56)) | (tokens >> np.uint64(8))
+
+
+def signatures(tokens: np.ndarray, t: tuple[int, int]) -> bytes:
+    """The prefixes under the further orders: for each the sorted last 16 bits of its tokens' hashes."""
+    p, found = prefix(len(tokens), t), []
+    for order in ORDERS:
+        key = tokens * order
+        key ^= key >> np.uint64(32)
+        first = tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+        found.append(np.sort((first >> np.uint64(20)).astype("uint16")))
+    return np.concatenate(found).tobytes()
+
+
+def orders_allow(a: bytes, b: bytes) -> list[bool]:
+    """For each further order, whether the two prefixes may share a token; False is certain."""
+    x, y = (np.frombuffer(s, "uint16").reshape(len(ORDERS), -1) for s in (a, b))
+    return [bool(np.isin(p, q).any()) for p, q in zip(x, y, strict=True)]
 
 
 def signed(x: int) -> int:
@@ -103,22 +125,27 @@ def may_be_similar(a: bytes, b: bytes, x: int, y: int, t: tuple[int, int]) -> bo
     return int(np.bitwise_count(a ^ b).sum()) <= x + y - 2 * least_overlap(x, y, t)
 
 
-def _scan(docs: DataFrame, n: int, bits: int) -> Scratch:
-    """kind 0: doc_id, class, set size and bitmap of every row. kind 1: this task's part of the sketch, by segments."""
+def _scan(docs: DataFrame, n: int, t: tuple[int, int], bits: int) -> Scratch:
+    """kind 0: doc_id, class, set size of every row, bitmap and prefixes under the further orders of its class where this task
+    met that first. kind 1: this task's part of the sketch, by segments."""
     size, part = 1 << bits, 1 << SEGMENT
-    names = ["kind", "doc_id", "cls", "n", "segment", "bits"]
+    names = ["kind", "doc_id", "cls", "n", "segment", "bits", "prefixes"]
 
     def scanned(batches):
-        counts, any_row = np.zeros(size, "uint32"), False
+        counts, any_row, seen = np.zeros(size, "uint32"), False, set()
         for batch in batches:
-            ids, classes, sizes, bits_of, tokens, waiting = batch.column(0), [], [], [], [], 0
+            ids, classes, sizes, bits_of, prefixes, tokens, waiting = batch.column(0), [], [], [], [], [], 0
             for x in batch.column(1).cast(pa.binary()):
                 own = words(x.as_py() or b"")
                 found = shingles(own, n)
                 tokens.append(found)
                 classes.append(_class(own))
                 sizes.append(len(found))
-                bits_of.append(bitmap(found))
+                first = classes[-1] not in seen
+                if first and len(seen) < 500_000:
+                    seen.add(classes[-1])
+                bits_of.append(bitmap(found) if first else None)
+                prefixes.append(signatures(found, t) if first else None)
                 waiting += len(found)
                 if waiting > 1 << 20:
                     _add(counts, tokens)
@@ -126,16 +153,16 @@ def _scan(docs: DataFrame, n: int, bits: int) -> Scratch:
             _add(counts, tokens)
             any_row = any_row or bool(sizes)
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, "int32")), ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.array(bits_of, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, "int32")), ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.array(bits_of, pa.binary()), pa.array(prefixes, pa.binary())], names=names)
         if any_row:
             for first in range(0, size // part, 64):
                 places = list(range(first, min(first + 64, size // part)))
                 own = [zlib.compress(np.minimum(counts[s * part : (s + 1) * part], 65535).astype("uint16").tobytes(), 1) for s in places]
                 m = len(places)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, "int32")), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, "int32")), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.binary()), pa.nulls(m, pa.binary())], names=names)
 
     rows = only(docs, ("doc_id", "bigint"), ("text", "string"))
-    return Scratch(rows.mapInArrow(scanned, "kind int, doc_id bigint, cls bigint, n bigint, segment int, bits binary"), "shingled", ["kind"])
+    return Scratch(rows.mapInArrow(scanned, "kind int, doc_id bigint, cls bigint, n bigint, segment int, bits binary, prefixes binary"), "shingled", ["kind"])
 
 
 def _add(counts: np.ndarray, tokens: list[np.ndarray]) -> None:
@@ -183,7 +210,7 @@ def _shared_tokens(docs: DataFrame, n: int, t: tuple[int, int], levels, buckets:
                     seen.add(cls)
                 found = shingles(own, n)
                 p = prefix(len(found), t)
-                order = keys(found, levels.value, None)
+                order = keys(found, levels.value)
                 first = np.argpartition(order, p - 1)[:p] if p < len(found) else np.arange(len(found))
                 first = first[np.argsort(order[first])]
                 tokens.append(found[first])
@@ -266,21 +293,21 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs a, b that their bitmaps allow."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    """The pairs a, b that share a prefix token under each further order and whose bitmaps allow them."""
+    side = lambda c: classes.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bits", "prefixes")])
+    found = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def kept(batches):
         for batch in batches:
-            x, y, p, q = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
-            keep = [i for i in range(len(x)) if may_be_similar(p[i], q[i], x[i], y[i], t)]
+            x, y, p, q, u, v = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b", "prefixes_a", "prefixes_b"))
+            keep = [i for i in range(len(x)) if all(orders_allow(u[i], v[i])) and may_be_similar(p[i], q[i], x[i], y[i], t)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return found.mapInArrow(kept, "a bigint, b bigint")
+    return found.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "prefixes_a", "prefixes_b").mapInArrow(kept, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], levels) -> DataFrame:
-    """The pairs a, b that pass the filters of the further orders and whose sets are similar."""
+def _verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs a, b whose sets are similar."""
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("right")), "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("left")), "a")
 
     def verified(batches):
@@ -288,28 +315,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], levels) -> Da
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
                 x, y = np.frombuffer(x.as_py(), "uint64"), np.frombuffer(y.as_py(), "uint64")
-                if all(_share(x, y, t, levels.value, o) for o in ORDERS) and len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x), len(y), t):
+                if len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x), len(y), t):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return both.select("a", "b", "left", "right").mapInArrow(verified, "a bigint, b bigint")
 
 
-def _share(x: np.ndarray, y: np.ndarray, t: tuple[int, int], levels: np.ndarray, order: np.uint64) -> bool:
-    """Whether the prefixes under one order share a token."""
-    first = []
-    for s in (x, y):
-        k, p = keys(s, levels, order), prefix(len(s), t)
-        first.append(s[np.argpartition(k, p - 1)[:p]] if p < len(s) else s)
-    return bool(np.isin(*first, assume_unique=True).any())
-
-
-def _linked(docs: DataFrame, n: int, t: tuple[int, int], pairs: DataFrame, classes: DataFrame, levels) -> DataFrame:
-    """The pairs whose sets are similar, written; only the sets of pairs that their bitmaps allow are read."""
+def _linked(docs: DataFrame, n: int, t: tuple[int, int], pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar, written; only the sets of pairs that all orders and the bitmaps allow are read."""
     likely = written(_plausible(pairs, classes, t), "likely")
     wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
     sets = written(_sets(docs, n, wanted), "sets")
-    return written(_verify(likely, sets, t, levels), "linked")
+    return written(_verify(likely, sets, t), "linked")
 
 
 def _fits(t: tuple[int, int], a: str, b: str) -> str:
@@ -325,12 +343,13 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> D
     """doc_id, n_shingles, component_id of every row, and links: how many verified links its class has kept.
 
     Two documents link where their sets of n-word shingles have a Jaccard similarity of at least similarity (a, b),
-    as a / b. component_id is the smallest doc_id that links reach, the document's own included.
+    as a / b. component_id is the smallest doc_id that links reach, the document's own included. links counts the
+    links that were verified to settle the components, not all that hold within one.
 
     Null texts and texts without words have an empty set and link with nothing. Rows without an id get no
-    component and link with nothing. Rows with equal ids count as linked. Whole texts of any length count.
-    Other columns take no part. An empty table gives no rows. Sets hold 64-bit hashes of shingles: two different
-    shingles of one pair of documents fall together with a chance of about size^2 / 2^64.
+    component and link with nothing. Rows with equal ids are one document: what one of them reaches, all do. Whole
+    texts of any length count. Other columns take no part. An empty table gives no rows. Sets hold 64-bit hashes of
+    shingles: two different shingles of one pair of documents fall together with a chance of about size^2 / 2^64.
     """
     t = similarity
     context = docs.sparkSession.sparkContext
@@ -338,12 +357,12 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> D
     bits = LEAST_BITS
     while bits < MOST_BITS and 1 << bits < COUNTERS * count:
         bits += 1
-    scan = _scan(docs, n, bits)
+    scan = _scan(docs, n, t, bits)
     rows = scan.df()
     levels = context.broadcast(_levels(rows.filter("kind = 1"), bits))
     of_docs = rows.filter("kind = 0").select("doc_id", "cls", "n")
     # cls is a hash of the words; with the set's size it names the class.
-    classes = written(rows.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "classes")
+    classes = written(rows.filter("kind = 0 and n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"), F.min("prefixes").alias("prefixes")).filter("rep is not null"), "classes")
 
     buckets = max(8, -(-count * PREFIX // BUCKET))
     shared = written(_shared_tokens(docs, n, t, levels, buckets), "shared")
@@ -355,24 +374,35 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5)) -> D
     w, h = weighed.alias("w"), heads.alias("h")
     first = w.join(h, F.col("w.tok") == F.col("h.tok")).filter("w.cls <> h.cls and " + _fits(t, "w", "h")).groupBy(F.col("w.cls").alias("cls")).agg(F.max(F.struct(F.col("h.weight"), F.col("h.cls"))).alias("h"))
     first = written(first.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct(), "first")
-    links = _linked(docs, n, t, first, classes, levels)
+    links = _linked(docs, n, t, first, classes)
 
     # Then the pairs across components that share a fitting token.
     parts = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
     placed = shared.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     open_ = placed.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("tok")
-    placed = written(placed.join(open_, "tok", "left_semi").select("tok", "cls", "n", "pos", "component"), "open")
-    a, b = placed.alias("a"), placed.alias("b")
-    more = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component"))).filter(_fits(t, "a", "b"))
+    placed = written(placed.join(open_, "tok", "left_semi").select("tok", "cls", "n", "pos", "component", "held"), "open")
+    # Each two blocks of a token's classes meet under a key of their own; few tokens have more than one block.
+    blocks = F.ceil(F.col("held") / HOLDERS).cast("int")
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a, b = placed.withColumn("left", F.col("block")).withColumn("right", every).alias("a"), placed.withColumn("right", F.col("block")).withColumn("left", every).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tok", "left", "right")]
+    more = a.join(b, same[0] & same[1] & same[2] & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component"))).filter(_fits(t, "a", "b"))
     more = more.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = written(links.unionByName(_linked(docs, n, t, more, classes, levels)), "linked")
+    links = written(links.unionByName(_linked(docs, n, t, more, classes)), "linked")
 
-    # From classes to documents.
+    # From classes to documents; an id on several rows with different words ties their classes together.
     name = classes.groupBy("cls").agg(F.min("rep").alias("rep"))
     u, v = name.select(F.col("cls").alias("a"), F.col("rep").alias("u")), name.select(F.col("cls").alias("b"), F.col("rep").alias("v"))
     named = written(links.join(u, "a").join(v, "b").select("u", "v"), "named")
-    parts = components(named)
+    repeated = of_docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("doc_id")
+    repeated = written(repeated, "repeated")
+    tied = of_docs.join(repeated, "doc_id", "left_semi").join(classes.select("cls", "rep"), "cls").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    parts = written(components(named.unionByName(tied)), "parts")
     degrees = named.select(F.col("u").alias("rep")).unionByName(named.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = of_docs.join(of_class, ["cls", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    if not repeated.isEmpty():
+        own = repeated.join(parts, repeated["doc_id"] == parts["node"]).select("doc_id", F.col("component").alias("own"))
+        out = out.join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("bigint").alias("links"))
