@@ -4,11 +4,13 @@ Targets: sources share all words by weight; a target stops at ``most`` times its
 shared again by weight. So target = min(most * size, level * weight) for one common level.
 
 Order: each document draws a key ``-ln(u) / quality`` from a hash of its own content; in ascending order of keys
-this is weighted sampling without replacement. A target's complete epochs take every document, then documents
-in key order fill what is left, up to the budget by prefix sums.
+this is weighted sampling without replacement. A target's complete epochs take every document, then documents in key
+order fill what is left: first as far as prefix sums stay within the budget, then, past the first document that does
+not fit, each further one that still fits. So a source ends less than its smallest remaining document below its target.
 
-A source may hold a third of all rows, so no step sorts a whole source: keys fall into ``SLICES`` slices, the
-sums of slices (pre-aggregated) tell in which one slice the budget ends, and only that slice is sorted.
+A source may hold a third of all rows, so no step sorts a whole source. Keys fall into ``SLICES`` slices by their
+logarithm, which spreads them alike whatever the weights; the sums of slices (pre-aggregated) tell in which one the
+budget ends, the sums of that slice's own ``SLICES`` parts tell in which part, and only that part is sorted.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import Scratch, join_small, only
 
-#: Slices of a source's key range; a slice of a source with 10^10 documents holds about 10^6.
+#: Slices of a source's key range, and parts of a slice; of 10^10 documents a part holds some 10^4.
 SLICES = 4096
+#: Documents of a source that are looked at in one round for what still fits.
+ROUND = 512
 #: A word is a run of other characters than blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Signs whose share lowers a document's default quality weight.
@@ -71,55 +75,84 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], most: int) ->
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, quality: Column | None = None, carry: tuple[str, ...] = (), seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes), times (copies) and the carried columns.
 
-    quality: weight of a document, above 0; text_quality() of its text unless given. A document is taken whole,
-    ``times`` times over: the complete epochs of its source and one more if it comes before the budget's end.
-    Where the budget ends inside a document, what is left goes to the one remaining document nearest in size.
+    quality: weight of a document, above 0, as a column of docs; text_quality() of its text unless given. A document
+    is taken whole, ``times`` times over: the complete epochs of its source and one more if it is drawn for the rest.
 
     Null texts and texts without words have size 0 and are taken 0 words. Null sources form one source, the
-    last. Null ids take part. Repeated rows count each; rows alike in every column draw the same key and follow
-    one another. An empty table gives no rows. Reruns agree, since every draw is a hash of the row.
+    last. Null ids take part; a null quality counts as 1. Repeated rows count each; rows alike in every column draw
+    the same key and follow one another. An empty table gives no rows. Reruns agree, since every draw is a hash of
+    the row.
     """
     kinds = dict(docs.dtypes)
     columns = [(c, kinds.get(c, "string")) for c in carry if c not in ("doc_id", "text", "source")]
-    rows = only(docs, ("doc_id", "bigint"), ("text", "string"), ("source", "string"), *columns)
+    if quality is not None:
+        docs = docs.select("*", quality.cast("double").alias("_quality"))
+    rows = only(docs, ("doc_id", "bigint"), ("text", "string"), ("source", "string"), ("_quality", "double"), *columns)
     draw = F.xxhash64(F.lit(seed), "doc_id", "source", F.xxhash64("text"))
     u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
-    weight = quality if quality is not None else text_quality(F.col("text"))
+    weight = F.coalesce("_quality", F.lit(1.0)) if quality is not None else text_quality(F.col("text"))
+    key = -F.log(u) / F.least(F.lit(1e6), F.greatest(F.lit(1e-6), weight))
     kept = rows.select(
-        "doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")], words(F.col("text")).alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("row"),
-        (-F.log(u) / F.greatest(weight.cast("double"), F.lit(1e-6))).alias("key"),
-    ).withColumn("slice", F.least(F.lit(SLICES - 1), F.floor(F.lit(float(SLICES)) * (1.0 - F.exp(-F.col("key"))))).cast("int"))
+        "doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")], words(F.col("text")).alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("row"), key.alias("key"),
+    )
+    # Logarithms of keys lie between -64 and 64.
+    place = (F.log("key") + 64.0) * F.lit(SLICES / 128)
+    kept = kept.withColumn("slice", F.floor(place).cast("int")).withColumn("part", F.floor((place - F.floor(place)) * SLICES).cast("int"))
     kept = Scratch(kept, "draws").df()
     sums = Scratch(kept.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices").df()
-    totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(totals, weights, most)
-    # A source has at most SLICES rows here.
-    run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    until = sums.withColumn("until", F.sum("words").over(run))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    aims = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # The slice on which the budget ends, and what it may still take there.
-    a, s = aims.alias("a"), until.alias("s")
-    ends = s.join(a, F.col("a.source").eqNullSafe(F.col("s.source"))).filter("s.until >= a.rest and s.until - s.words < a.rest and a.rest > 0").groupBy("s.source").agg(F.min_by("s.slice", "s.slice").alias("last"), F.min_by(F.expr("a.rest - (s.until - s.words)"), F.col("s.slice")).alias("left"))
-    e = ends.alias("e")
-    plan = aims.alias("a").join(e, F.col("a.source").eqNullSafe(F.col("e.source")), "left").select(
-        F.col("a.source").isNull().alias("none"), F.coalesce("a.source", F.lit("")).alias("name"), "a.source_size", "a.target", "a.epochs",
-        F.coalesce("e.last", F.lit(-1)).alias("last"), F.coalesce("e.left", F.lit(0.0)).alias("left"),
-    )
-    plan = Scratch(plan, "aims").df()
-    named = kept.withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
-    on, rows_of_plan = ["none", "name"], plan.count()
-    joined = join_small(named, plan, on, rows_of_plan, spread=F.col("draw"))
+    named = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
+    aims = targets.withColumn("epochs", epochs).select(*named, "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
+    aims = Scratch(_ends(aims, sums.select(*named, "slice", "words"), "slice", "rest", "last", "left"), "aims").df()
+    on, n = ["none", "name"], aims.count()
+    kept = kept.select("*", *named)
+
+    # The slice on which each budget ends, then the part of it.
+    here = join_small(kept.select(*on, "slice", "part", "size", "draw"), aims.select(*on, "last"), on, n, spread=F.col("draw")).filter(F.col("slice") == F.col("last"))
+    parts = here.groupBy(*on, "part").agg(F.sum("size").alias("words"))
+    plan = Scratch(_ends(aims.withColumnRenamed("left", "in_slice"), parts, "part", "in_slice", "last_part", "left"), "plan").df()
+    joined = join_small(kept, plan, on, n, spread=F.col("draw"))
+    at = F.struct("slice", "part")
+    end = F.struct(F.col("last").alias("slice"), F.col("last_part").alias("part"))
     ordered = Window.partitionBy(*on).orderBy("key", "draw", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = joined.filter(F.col("slice") == F.col("last")).withColumn("fits", F.sum("size").over(ordered) <= F.col("left"))
+    edge = joined.filter(at == end).withColumn("fits", F.sum("size").over(ordered) <= F.col("left"))
     edge = Scratch(edge, "edge").df()
-    sure = joined.filter(F.col("slice") != F.col("last")).withColumn("fits", F.col("slice") < F.col("last"))
-    # What the prefix leaves of the budget goes to the one document nearest to it in size, if that beats none.
-    gaps = plan.join(edge.groupBy(*on).agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used")), on).select(*on, (F.col("left") - F.col("used")).alias("gap"))
-    others = sure.filter(F.col("slice") > F.col("last")).unionByName(edge).filter(~F.col("fits")).select(*on, "size", "key", "row")
-    off = F.abs(F.col("size") - F.col("gap"))
-    fill = join_small(others, gaps, on, rows_of_plan, spread=F.col("row")).filter(off < F.col("gap")).groupBy(*on).agg(F.min_by("row", F.struct(off, "key", "row")).alias("filler"))
-    fill = Scratch(fill, "fill").df()
-    every_row = join_small(sure.unionByName(edge), fill, on, rows_of_plan, "left", spread=F.col("row"))
-    times = F.least(F.lit(most), F.col("epochs") + (F.col("fits") | F.coalesce(F.col("row") == F.col("filler"), F.lit(False))).cast("int"))
-    return every_row.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *[c for c in carry if c != "doc_id"])
+    every = joined.filter(at != end).withColumn("fits", at < end).unionByName(edge)
+
+    # Past the first document that does not fit, those that still do.
+    used = edge.filter("fits").groupBy(*on).agg(F.sum("size").alias("used"))
+    gaps = Scratch(plan.filter("last >= 0").join(used, on, "left").select(*on, (F.col("left") - F.coalesce("used", F.lit(0))).alias("gap"), F.lit(-1.0).alias("after")), "gaps").df()
+    drawn = []
+    others = every.filter(~F.col("fits") & (F.col("size") > 0)).select(*on, "size", "key", "draw", "row")
+    while True:
+        able = join_small(others, gaps, on, n, spread=F.col("row")).filter((F.col("size") <= F.col("gap")) & (F.col("key") > F.col("after")))
+        able = able.withColumn("k", F.row_number().over(Window.partitionBy(*on).orderBy("key", "draw", "row"))).filter(F.col("k") <= ROUND)
+        # At most ROUND rows of a source, taken in order as long as they fit.
+        able = able.groupBy(*on).agg(F.first("gap").alias("gap"), F.max("key").alias("after"), F.sort_array(F.collect_list(F.struct("k", "size", "row"))).alias("rows"))
+        none = F.array().cast("array<bigint>")
+        took = F.aggregate(
+            "rows", F.struct(F.col("gap").alias("gap"), none.alias("rows")),
+            lambda a, r: F.when(r["size"] <= a["gap"], F.struct((a["gap"] - r["size"]).alias("gap"), F.array_append(a["rows"], r["row"]).alias("rows"))).otherwise(a),
+        )
+        step = Scratch(able.select(*on, "after", took.alias("took")).select(*on, "after", "took.gap", F.col("took.rows").alias("rows")), "step").df()
+        if step.isEmpty():
+            break
+        drawn.append(step.select(F.explode("rows").alias("row")))
+        gaps = step.select(*on, "gap", "after")
+    extra = drawn[0] if drawn else kept.select("row").limit(0)
+    for more in drawn[1:]:
+        extra = extra.unionByName(more)
+    extra = Scratch(extra.withColumn("more", F.lit(True)), "extra").df()
+    found = join_small(every, extra, ["row"], extra.count(), "left", spread=F.col("draw"))
+    times = F.least(F.lit(most), F.col("epochs") + (F.col("fits") | F.coalesce("more", F.lit(False))).cast("int"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *[c for c in carry if c != "doc_id"])
+
+
+def _ends(aims: DataFrame, sums: DataFrame, by: str, budget: str, last: str, left: str) -> DataFrame:
+    """aims with the slice on which each budget ends (-1: none) and what it may still take there; sums: words of each slice, at most SLICES a source."""
+    on = ["none", "name"]
+    run = Window.partitionBy(*on).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = sums.withColumn("until", F.sum("words").over(run)).join(aims.select(*on, F.col(budget).alias("budget")), on)
+    ends = until.filter("until >= budget and until - words < budget and budget > 0").groupBy(*on).agg(F.min(by).alias(last), F.min_by(F.expr("budget - (until - words)"), F.col(by)).alias(left))
+    return aims.join(ends, on, "left").withColumn(last, F.coalesce(last, F.lit(-1))).withColumn(left, F.coalesce(left, F.lit(0.0)))
