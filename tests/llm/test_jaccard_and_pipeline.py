@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tamis.llm import components, jaccard, mixing
@@ -119,18 +120,80 @@ def test_stages(spark):
     want = {c for _, _, c in brute([(r["doc_id"], r["text"]) for r in before.collect()])}
     assert {r["doc_id"] for r in after.collect()} == want and after.count() == len(want)
     before, after = kept["mixing sources to target weights"]
-    times = {r["doc_id"]: r["times"] for r in mixing.mix(before).collect()}
-    got = {r["doc_id"]: r["count"] for r in after.groupBy("doc_id").count().collect()}
-    assert got == {i: n for i, n in times.items() if n}
+    sizes, want, taken = {}, {}, {}
+    for r in mixing.mix(before, carry=("source",)).collect():
+        sizes.setdefault(r["source"], []).append(r["size"])
+        want[r["source"]] = r["target"]
+    for r in after.select("source", mixing.words(F.col("text")).alias("size")).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"]
+    assert all(0 <= want[s] - taken.get(s, 0) < max(sizes[s]) for s in want)
+    assert after.groupBy(*columns).count().join(before.groupBy(*columns).count().withColumnRenamed("count", "own"), columns, "left").filter("own is null or count > 3 * own").isEmpty()
     before, after = kept["best-fit packing"]
     assert after.filter("piece = 0").count() == before.count()
     assert after.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
 
 
-def test_repeated_ids_keep_one_row(spark, docs):
-    kept = corpus_pipeline.distinct(spark, docs, "")
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and ids.count(None) == 2
+def test_orders_remove_pairs():
+    """Each further order removes pairs that share a token under the others, and never one that is similar."""
+    draw, t = random.Random(4), (4, 5)
+    sets = []
+    for i in range(300):
+        own = {draw.randrange(2**64) for _ in range(60)} | {draw.randrange(40) * 0x9E3779B97F4A7C15 % 2**64 for _ in range(3)}
+        sets.append(np.array(sorted(own), "uint64"))
+        if i % 10 == 0:
+            sets.append(np.array(sorted(set(own) - {min(own)} | {draw.randrange(2**64)}), "uint64"))
+    prefixes = [jaccard.signatures(x, t) for x in sets]
+    share, both, similar = [0, 0], 0, 0
+    for a in range(len(sets)):
+        for b in range(a):
+            found = jaccard.orders_allow(prefixes[a], prefixes[b])
+            k = len(np.intersect1d(sets[a], sets[b]))
+            if k >= jaccard.least_overlap(len(sets[a]), len(sets[b]), t):
+                similar += 1
+                assert all(found)
+            elif k:
+                share = [n + f for n, f in zip(share, found, strict=True)]
+                both += all(found)
+    pairs = len(sets) * (len(sets) - 1) // 2
+    assert similar >= 30 and all(n < pairs / 4 for n in share) and both < min(share)
+
+
+def test_orders_come_before_sets(spark, monkeypatch):
+    """Pairs that share a rare token but fail an order never have their sets read, and holders of one token meet in blocks."""
+    monkeypatch.setattr(jaccard, "HOLDERS", 7)
+    draw = random.Random(11)
+    rows = [(i, "one two three four five " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(25))) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(20)]
+    read = []
+    whole = jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda docs, n, wanted: (read.append(wanted.count()), whole(docs, n, wanted))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shown(jaccard.join(df)) == brute(rows) and sum(read) <= 2 * 40 + 60
+
+
+def test_equal_ids_tie_their_texts(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text of its own"), (7, "quite another text of its own"), (9, "alone"), (9, None), (None, "alone")]
+    assert shown(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted([(3, 2, 3), (5, 2, 3), (5, 2, 3), (7, 2, 3), (9, 1, 9), (9, 0, 9), (-1, 1, -1)])
+
+
+def test_stages_with_holes(spark, docs, empty_docs, clashing, tmp_path):
+    """Nulls, empty texts, repeated rows, no rows and clashing columns, in every stage."""
+    labels = spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        found = [stage(spark, table, str(tmp_path)) for table in (docs, clashing)]
+        assert found[0].columns == found[1].columns and sorted(map(repr, found[0].collect())) == sorted(map(repr, found[1].collect())), name
+        assert stage(spark, empty_docs, str(tmp_path)).count() == 0
+
+
+def test_one_of_each_group_stays(spark, docs, rows):
+    """Rows of a group keep one, whatever their ids; the same id on another text is another document."""
+    kept = corpus_pipeline.distinct(spark, docs, "").collect()
+    numbered = [(i, t) for i, (_, t, *_) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    assert len(kept) == len({c for _, _, c in brute(numbered)})
+    few = spark.createDataFrame([(5, "a b c d e f", "en", "s", 1), (5, "other words", "en", "s", 1), (None, "A b c d e f", "en", "s", 1), (3, "a b c d e f", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None)], docs.schema)
+    assert sorted(map(repr, (tuple(r)[:2] for r in corpus_pipeline.distinct(spark, few, "").collect()))) == sorted(map(repr, [(3, "a b c d e f"), (5, "other words"), (None, None), (None, None)]))
 
 
 def test_run(spark):
