@@ -30,22 +30,26 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows with one id, the least row. Rows without an id stay."""
-    groups = written(jaccard.join(docs).select("doc_id", "component_id"), "groups")
-    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    repeated = written(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    some = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    kept = docs.select(*COLUMNS).join(some(gone), "doc_id", "left_anti").select(*COLUMNS)
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(some(repeated), "doc_id", "left_anti").select(*COLUMNS)
-    least = kept.join(some(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
-    return once.unionByName(least)
+    """One document of each group of near duplicates: the one with the smallest id, null ids last. Rows are told apart by number, so equal ids and null ids are no exception."""
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = written(jaccard.join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
+    # Rows alone in their group stay as they are; of the others, all but the first go.
+    several = groups.groupBy("group").count().filter("count > 1").select("group")
+    members = groups.join(_some(several), "group", "left_semi").join(rows.select("row", "doc_id"), "row")
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    stays = members.groupBy("group").agg(first.alias("row")).select("row")
+    gone = written(members.select("row").join(stays, "row", "left_anti"), "gone")
+    return rows.join(_some(gone), "row", "left_anti").select(*COLUMNS)
+
+
+def _some(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    found = mixing.mix(docs, carry=COLUMNS)
+    """Each document as often as the mix takes it; the quality classifier's score is its weight."""
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.learns(3, 1))
+    found = mixing.mix(quality.score(docs, model, keep=COLUMNS), quality=F.col("score"), carry=COLUMNS)
     return found.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
