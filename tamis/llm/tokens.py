@@ -10,18 +10,21 @@ A word's final symbol carries the end mark, so each prefix has two states: open
 and closed (the text ends here). Across words counts add up, since no merge crosses a word. Truncation and
 budget questions read the stored counts; nothing is encoded again.
 
-Positions are code points of the normalised text (NFC, each run of white space one blank, lower case), which
-are the text's own wherever normalising keeps every code point.
+Positions are code points of the text as it is: where normalising composes, lowers or collapses code points, a prefix
+counts as the library counts that prefix alone. The table of a text (``steps``) holds, for each code point, by how much the
+count changes there, one signed byte each; sums of it answer every question. Texts are cut at ASCII white space, which
+tokens never cross, so the steps of a run are found once per worker and looked up afterwards.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tamis.llm.common import only
@@ -31,6 +34,8 @@ CHUNKS = 1_000_000
 MARK = "</w>"
 #: Letters of Latin-1, then ASCII signs but the apostrophe, which can start a contraction.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
+#: Runs of ASCII white space, kept by a split.
+BLANKS = re.compile(rb"([\x20\x09-\x0D]+)")
 
 
 def byte_letters() -> list[str]:
@@ -133,6 +138,7 @@ class PrefixCounter:
         self.letters = byte_letters()
         self.words: dict[str, int] = {}
         self.chunks = _Counts(self)
+        self.stepped = _Steps(self)
 
     # words -----------------------------------------------------------------------------------------
 
@@ -201,25 +207,64 @@ class PrefixCounter:
             self.chunks.clear()
         return sum(map(self.chunks.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
+    def steps(self, data: bytes) -> bytes:
+        """By how much the count changes with each code point of a whole text in UTF-8, as signed bytes."""
+        if len(self.stepped) > CHUNKS // 2:
+            self.stepped.clear()
+        return b"".join(map(self.stepped.__getitem__, BLANKS.split(data if b"<|" in data else data.lower())))
+
     def prefix_counts(self, text: str) -> list[int]:
-        """counts[p]: tokens of the first p code points of the normalised text; the last one is the whole text's."""
+        """counts[p]: tokens of the first p code points; the last one is the whole text's."""
+        return counts_of(self.steps(text.encode())).tolist()
+
+    def run(self, text: str) -> list[int]:
+        """The counts of all prefixes of a run without ASCII white space. A prefix that ends inside a special string counts it as plain text."""
         counts, total, at = [0], 0, 0
-        spans = [(m.start(), m.end()) for m in self.split_special.finditer(text)]
-        for start, end in [*spans, (len(text), len(text))]:
-            total = self._plain(text[at:start], counts, total)
-            if end > start:
-                inner = [total]
-                self._plain(text[start:end], inner, total)
-                total += 1
-                counts += [*inner[1:-1], total]
-            at = end
+        for m in self.split_special.finditer(text):
+            plain = self._plain(text[at : m.end()])
+            counts += [total + c for c in plain[1:-1]]
+            total += plain[m.start() - at] + 1
+            counts.append(total)
+            at = m.end()
+        return counts + [total + c for c in self._plain(text[at:])[1:]]
+
+    def _plain(self, text: str) -> list[int]:
+        """The same for a run without special strings, or with one of them as plain text."""
+        if unicodedata.is_normalized("NFC", text):
+            clusters = list(text)
+        else:
+            clusters = _clusters(text)
+        # What a cluster becomes by itself is what it becomes in the text, since nothing composes across its ends.
+        shown = [unicodedata.normalize("NFC", c) for c in clusters]
+        normal = [self._lower(c) for c in shown]
+        ends = np.cumsum([0, *map(len, normal)]).tolist()
+        whole = "".join(normal)
+        by_end = self._counts(whole)
+        counts = [0]
+        for k, c in enumerate(clusters):
+            for j in range(1, len(c)):
+                # Inside a cluster the text so far may end otherwise: its last words are counted anew.
+                begin = self._word_start(whole, ends[k])
+                counts.append(by_end[begin] + self._counts(whole[begin : ends[k]] + self._lower(unicodedata.normalize("NFC", c[:j])))[-1])
+            counts.append(by_end[ends[k + 1]])
         return counts
 
-    def _plain(self, text: str, counts: list[int], total: int) -> int:
-        if not text:
-            return total
-        normal = self.tokenizer.normalizer.normalize_str(text)
-        at = 0
+    def _lower(self, text: str) -> str:
+        return "".join(" " if c.isspace() and not "\x1c" <= c <= "\x1f" else c.lower() for c in text)
+
+    def _word_start(self, text: str, at: int) -> int:
+        """A place before which words end whatever follows ``at``: the start of the word there, or of the one before an apostrophe."""
+        begin = at
+        for _ in range(2):
+            while begin and text[begin - 1].isalnum():
+                begin -= 1
+            while begin and not text[begin - 1].isalnum() and not text[begin - 1].isspace():
+                begin -= 1
+        return begin
+
+    def _counts(self, normal: str) -> list[int]:
+        """The counts of all prefixes of a normalised run."""
+        counts, total, at = [0], 0, 0
         for mapped, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
             counts += [total] * (start - at)
             piece = normal[start:end]
@@ -235,13 +280,44 @@ class PrefixCounter:
             counts += [total + c for c in inner]
             total += inner[-1]
             at = end
-        counts += [total] * (len(normal) - at)
-        return total
+        return counts + [total] * (len(normal) - at)
 
     def fitting(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of the normalised text with at most budget tokens."""
-        counts = self.prefix_counts(text)
-        return next(p for p in range(len(counts) - 1, -1, -1) if counts[p] <= budget)
+        """Code points of the longest prefix with at most budget tokens."""
+        return fits(self.steps(text.encode()), budget)
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """counts[p] of the first p code points, from a stored table."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, "int8"), dtype="int64")])
+
+
+def fits(steps: bytes, budget: int) -> int:
+    """Code points of the longest prefix of at most budget tokens, from a stored table."""
+    return int(np.flatnonzero(counts_of(steps) <= budget)[-1]) if budget >= 0 else 0
+
+
+def _clusters(text: str) -> list[str]:
+    """The text cut before every code point that composes with nothing before it."""
+    found: list[str] = []
+    for c in text:
+        if found and (unicodedata.combining(c) or c in _seconds()):
+            found[-1] += c
+        else:
+            found.append(c)
+    return found
+
+
+_SECONDS: set[str] = set()
+
+
+def _seconds() -> set[str]:
+    """Code points that can compose with the one before: second parts of canonical decompositions, and Hangul vowels and finals."""
+    if not _SECONDS:
+        parts = (unicodedata.decomposition(chr(i)) for i in range(0x110000))
+        _SECONDS.update(chr(int(p.split()[1], 16)) for p in parts if p and p[0] != "<" and " " in p)
+        _SECONDS.update(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
+    return _SECONDS
 
 
 class _Counts(dict):
@@ -254,6 +330,26 @@ class _Counts(dict):
         return n
 
 
+class _Steps(dict):
+    """A run of white space or of other code points -> its steps."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, data: bytes) -> bytes:
+        if not data or data[0] in b" \t\n\v\f\r":
+            found = bytes(len(data))
+        else:
+            change = np.diff(self.counter.run(data.decode()))
+            if np.abs(change).max() > 127:  # one more symbol moves the count by less than a token's length
+                raise OverflowError("a step beyond a signed byte")
+            found = change.astype("int8").tobytes()
+        if len(data) <= 64:
+            self[data] = found
+        return found
+
+
 _counters: dict[str, PrefixCounter] = {}
 
 
@@ -264,42 +360,29 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, prefixes: bool = False, budget: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every whole text; narrow, with no shuffle.
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, prefixes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every whole text, and with prefixes the table of its prefixes; narrow, with no shuffle.
+
+    prefix_steps holds for each code point by how much the token count changes there (signed bytes): the sum of the
+    first p is the exact count of the first p code points (``counts_of``). n_tokens is the sum of all; fits_chars, the
+    code points of the longest prefix of at most limit tokens, is read from it too (``fits`` answers any other budget).
 
-    tokenizer: path of the vocabulary file, present on every machine. prefixes: adds ``prefix_tokens``, the
-    count at every prefix. budget: adds ``fits_chars``, the longest prefix of at most so many tokens.
-    Null texts count as empty ones (0 bytes, 0 tokens); null ids and repeated rows come back as they are;
-    texts of any length are taken whole; other columns of docs take no part, whatever their names.
+    tokenizer: path of the vocabulary file, present on every machine. Null texts count as empty ones (0 bytes, 0
+    tokens); null ids and repeated rows come back as they are; texts of any length are taken whole; other columns of
+    docs take no part, whatever their names.
     """
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    if prefixes:
-        fields.append(T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
-    if budget is not None:
-        fields.append(T.StructField("fits_chars", T.LongType()))
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_()} | ({"fits_chars": pa.int64(), "prefix_steps": pa.binary()} if prefixes else {})
+    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean" + (", fits_chars bigint, prefix_steps binary" if prefixes else "")
 
     def counted(batches):
         c = counter(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            sizes, counts, more, fits = [], [], [], []
-            for value in texts:
-                data = value.as_py() or b""
-                sizes.append(len(data))
-                if prefixes or budget is not None:
-                    stored = c.prefix_counts(data.decode())
-                    counts.append(stored[-1])
-                    if prefixes:
-                        more.append(stored)
-                    if budget is not None:
-                        fits.append(next(p for p in range(len(stored) - 1, -1, -1) if stored[p] <= budget))
-                else:
-                    counts.append(c.count(data))
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
+            texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
+            tables = [c.steps(x) for x in texts] if prefixes else []
+            counts = [int(np.frombuffer(x, "int8").sum(dtype="int64")) for x in tables] if prefixes else [c.count(x) for x in texts]
+            columns = [batch.column(0), [len(x) for x in texts], counts, [n > limit for n in counts]]
             if prefixes:
-                columns.append(pa.array(more, pa.list_(pa.int32())))
-            if budget is not None:
-                columns.append(pa.array(fits, pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+                columns += [[fits(x, limit) if n > limit else len(x) for x, n in zip(tables, counts, strict=True)], tables]
+            yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(x, kind) for x, kind in zip(columns[1:], list(kinds.values())[1:], strict=True))], names=list(kinds))
 
-    return only(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(counted, T.StructType(fields))
+    return only(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(counted, schema)

@@ -17,18 +17,39 @@ def library(word_bpe):
     return Tokenizer.from_file(word_bpe)
 
 
+def every_prefix(library, text):
+    return [len(e.ids) for e in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+
+
 def test_counts_at_every_prefix(word_bpe, library):
+    """At every code point of the text as it is: special strings, composed and decomposed letters, blanks of all kinds."""
     c = tokens.counter(word_bpe)
-    for text in ODD:
-        whole = len(library.encode(text, add_special_tokens=False).ids)
-        assert c.count(text.encode()) == whole == c.prefix_counts(text)[-1]
-        normal = library.normalizer.normalize_str(text)
-        if "<|" in text:
-            continue
-        counts = c.prefix_counts(text)
-        assert counts == [len(library.encode(normal[:k], add_special_tokens=False).ids) for k in range(len(normal) + 1)]
+    odd = [*ODD, "a !!<|endoftext|>'s x<|startoftext|>", "e\u0301te\u0301 q\u0303u\u0303 a\u0327\u0301b", "각 \u1100\u1161\u11a8x", "don\u0301't \u0301's", "İİ'S Ǆ ΑΣ. 　a\u0301 b", "  two  blanks\n\n\tlines \n", "İ\u0301e\u0302\u0301'll"]
+    for text in odd:
+        counts = every_prefix(library, text)
+        assert c.prefix_counts(text) == counts, text
+        assert c.count(text.encode()) == counts[-1]
         for budget in (0, 1, 3, 10):
             assert c.fitting(text, budget) == max(k for k, n in enumerate(counts) if n <= budget)
+    draw = random.Random(5)
+    for _ in range(300):
+        text = "".join(draw.choice("aeqn'sS!<|İ\u0301\u0303\u0327 \u3000\u00c5ﬁ1\u1100\u1161\u11a8" ) for _ in range(draw.randint(1, 14)))
+        assert c.prefix_counts(text) == every_prefix(library, text), ascii(text)
+
+
+def test_registered_prefixes(spark, word_bpe, library):
+    """The registered query's table gives the library's count at every prefix of every text up to 3000 code points, and samples of longer ones."""
+    from tamis.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    draw = random.Random(1)
+    for r in queries.op9_token_counts(spark, sf_dir).collect():
+        text, counts = texts[r["doc_id"]], tokens.counts_of(bytes(r["prefix_steps"])).tolist()
+        places = range(len(text) + 1) if len(text) <= 300 else [0, len(text), *draw.sample(range(len(text)), 40)]
+        assert len(counts) == len(text) + 1 and [counts[p] for p in places] == [len(e.ids) for e in library.encode_batch([text[:p] for p in places], add_special_tokens=False)]
+        assert r["n_tokens"] == counts[-1] and r["n_bytes"] == len(text.encode()) and r["over_limit"] == (counts[-1] > 2048)
+        assert r["fits_chars"] == max(p for p, n in enumerate(counts) if n <= 2048)
 
 
 def test_joins_like_the_library(word_bpe, library):
@@ -46,8 +67,10 @@ def test_token_counts(docs, rows, empty_docs, clashing, word_bpe, library):
         assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_tokens"]) for r in got) == want
         assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
     assert tokens.token_counts(empty_docs, word_bpe).count() == 0
-    r = tokens.token_counts(docs.filter("doc_id = 3"), word_bpe, prefixes=True, budget=2).first()
-    assert r["prefix_tokens"][-1] == r["n_tokens"] and r["prefix_tokens"][r["fits_chars"]] <= 2
+    r = tokens.token_counts(docs.filter("doc_id = 3"), word_bpe, 2).first()
+    counts = tokens.counts_of(bytes(r["prefix_steps"]))
+    assert counts[-1] == r["n_tokens"] and counts[r["fits_chars"]] <= 2
+    assert "prefix_steps" not in tokens.token_counts(docs, word_bpe, prefixes=False).columns
 
 
 def plain_best_fit(items, limit):
