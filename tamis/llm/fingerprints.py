@@ -1,15 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every k-gram of tokens is hashed; in each window of w neighbouring k-grams the smallest hash is chosen, the rightmost
-one on ties, and its position kept. Two texts that share a run of w + k - 1 tokens share a chosen hash.
+Every k-gram of code points gets its polynomial (Rabin-Karp) hash; in each window of w neighbouring k-grams the smallest
+hash is chosen, the rightmost one on ties, and its position kept. Two texts that share a run of w + k - 1 code points
+share a chosen hash. One grain serves texts of every length and script.
 
-Tokens are words, with k = 5 and w = 8; a word of more than RUN code points counts as that many tokens, its code
-points, in texts of any length, so that texts with few blanks are told by their code points. Texts of at most SHORT code points carry a second grain, their code points
-with k = 6 and w = 4, since few of their word k-grams survive an edit; two texts are compared on code points where
-both carry that grain, else on words.
+SQL functions keep no state from one element to the next, so the values of the rolling hash are made by doubling
+instead: the hash of 2m code points is that of the first m times BASE^m plus that of the next m. Likewise the least of
+2m k-grams is the lesser of two leasts of m. So a text takes log2(k) + log2(w) passes, not k + w operations a place.
 
-A chosen k-gram is one long: 32 bits of hash, then the position counted downward, so that the least long is the
-least hash with the rightmost position. A text with fewer than k tokens is one k-gram; one without tokens has none.
+A chosen k-gram is one long: 31 bits of hash, then the position counted downward, so that the least long is the
+least hash with the rightmost position. A text of fewer than k code points is one k-gram (zeros follow); an empty text
+has none. A text of fewer than w k-grams is one window.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import only
 
-WORD_GRAM, WORD_WINDOW = 5, 8
-CHAR_GRAM, CHAR_WINDOW = 6, 4
-SHORT = 600
-#: Code points of the longest word that is one token.
-RUN = 24
-#: Rows of a bucket of neighbouring ids, and buckets at most (their edges are broadcast).
-ROWS, BUCKETS = 500, 10_000
+#: Code points of a k-gram, and k-grams of a window; both powers of two.
+GRAM, WINDOW = 8, 16
+#: The hash's base and its modulus, a prime.
+BASE, PRIME = 1_103_515_245, (1 << 31) - 1
+#: Rows of a bucket of neighbouring ids, and buckets at most (their edges are broadcast, 1.6 MB).
+ROWS, BUCKETS = 500, 200_000
 #: Parts that the rows of one crowded id are spread over.
 SPREAD = 256
 _LAST = (1 << 31) - 1
@@ -38,60 +38,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def chosen(tokens: Column, gram: int, window: int) -> Column:
-    """array<bigint>: the chosen k-grams of an array of tokens."""
+def chosen(text: Column) -> Column:
+    """array<bigint>: the chosen k-grams of a text, in order of position."""
 
-    def grams(t: Column) -> Column:
-        n = F.size(t)
-        hashed = lambda i: F.shiftright(F.xxhash64(*[F.get(t, i + j) for j in range(gram)]), 32) + F.lit(1 << 31)
-        value = lambda i: F.shiftleft(hashed(i), 31) + (F.lit(_LAST).cast("bigint") - i)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - gram, F.lit(0))), value)).otherwise(F.array().cast("array<bigint>"))
+    def doubled(x: Column, m: int, both: Callable[[Column, Column], Column]) -> Column:
+        """both(x[i], x[i + m]) for every place where both are."""
+        return let(x, lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) - m), F.slice(v, F.lit(1 + m), F.size(v) - m), both))
 
-    def least(g: Column) -> Column:
-        n = F.size(g)
-        pick = lambda i: F.least(*[F.get(g, i + j) for j in range(window)])
-        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), pick))).otherwise(g)
+    def padded(x: Column, least: int, by: int) -> Column:
+        return let(x, lambda v: F.when(F.size(v) < least, F.concat(v, F.array_repeat(F.lit(by).cast("bigint"), F.lit(least) - F.size(v)))).otherwise(v))
 
-    return let(tokens, lambda t: let(grams(t), least))
+    # The dot takes a code point, where an empty pattern would cut the pairs that Java holds rare ones in.
+    found = padded(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("bigint")), GRAM, 0)
+    m = 1
+    while m < GRAM:
+        found, m = doubled(found, m, _rolled(F.lit(pow(BASE, m, PRIME)).cast("bigint"))), 2 * m
+    found = F.transform(found, lambda h, i: F.shiftleft(h, 31) + (F.lit(_LAST).cast("bigint") - i))
+    found, m = padded(found, WINDOW, (1 << 62) + _LAST), 1
+    while m < WINDOW:
+        found, m = doubled(found, m, lambda a, b: F.least(a, b)), 2 * m
+    return F.when(F.length(text) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
 
 
-def words(text: Column) -> Column:
-    """Words; those of more than RUN code points as their code points."""
-    apart = lambda w: F.when(F.length(w) > RUN, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))
-    found = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return let(found, lambda t: F.when(F.exists(t, lambda w: F.octet_length(w) > RUN), F.flatten(F.transform(t, apart))).otherwise(t))
-
-
-def prints(text: Column) -> Column:
-    """struct<words, chars>: chosen k-grams of both grains; chars is null for texts above SHORT."""
-    return let(text, lambda t: F.struct(
-        chosen(words(t), WORD_GRAM, WORD_WINDOW).alias("words"),
-        F.when(F.length(t) <= SHORT, chosen(F.filter(F.split(t, ""), lambda c: c != ""), CHAR_GRAM, CHAR_WINDOW)).alias("chars"),
-    ))
+def _rolled(power: Column) -> Callable[[Column, Column], Column]:
+    return lambda a, b: (a * power + b) % F.lit(PRIME)
 
 
 def shown(found: Column) -> Column:
-    """The fingerprint as text: hash@position of each chosen k-gram in order of position, words, then code points."""
+    """The fingerprint as text: hash@position of each chosen k-gram in order of position."""
     one = lambda v: F.concat(F.lower(F.hex(F.shiftright(v, 31))), F.lit("@"), (F.lit(_LAST).cast("bigint") - v.bitwiseAND(F.lit(_LAST).cast("bigint"))).cast("string"))
-    return F.concat(F.lit("w:"), F.array_join(F.transform(found["words"], one), ","), F.coalesce(F.concat(F.lit(";c:"), F.array_join(F.transform(found["chars"], one), ",")), F.lit("")))
+    return F.array_join(F.transform(found, one), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the chosen hashes, 0 to 1; two empty fingerprints are alike."""
-
-    def jaccard(x: Column, y: Column) -> Column:
-        bare = lambda f: F.array_distinct(F.transform(f, lambda v: F.shiftright(v, 31)))
-        both = let(bare(x), lambda p: let(bare(y), lambda q: let(F.size(F.array_intersect(p, q)), lambda n: F.when(F.size(p) + F.size(q) == 0, F.lit(1.0)).otherwise(n / (F.size(p) + F.size(q) - n)))))
-        return both.cast("double")
-
-    return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), jaccard(a["chars"], b["chars"])).otherwise(jaccard(a["words"], b["words"]))
+    bare = lambda f: F.array_distinct(F.transform(f, lambda v: F.shiftright(v, 31)))
+    share = lambda p, q, n: F.when(F.size(p) + F.size(q) == 0, F.lit(1.0)).otherwise(n / (F.size(p) + F.size(q) - n))
+    return let(bare(a), lambda p: let(bare(b), lambda q: let(F.size(F.array_intersect(p, q)), lambda n: share(p, q, n)))).cast("double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint of every row's whole text (null: empty), with the chosen k-grams; no shuffle."""
+    """doc_id, the fingerprint of every row's whole text (null: empty) and its chosen k-grams; no shuffle."""
     rows = only(docs, ("doc_id", "bigint"), ("text", "string"))
-    found = prints(F.coalesce("text", F.lit("")))
-    return rows.select("doc_id", found.alias("found")).select("doc_id", shown(F.col("found")).alias("fingerprint"), F.col("found.words").alias("word_grams"), F.col("found.chars").alias("char_grams"))
+    return rows.select("doc_id", chosen(F.coalesce("text", F.lit(""))).alias("grams")).select("doc_id", shown(F.col("grams")).alias("fingerprint"), "grams")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -152,8 +141,6 @@ def edited(docs: DataFrame) -> DataFrame:
     return _result(every, key, order)
 
 
-
-
 def _place(doc_id: Column, edges: list[int]) -> Column:
     """Buckets in descending order of ids; nulls come last. Two steps of about the root of the edges' number."""
     if not edges:
@@ -171,7 +158,7 @@ def _result(every: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     new = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
     made = every.select("doc_id", "ghost", *key, "tie", "text", new.alias("edited"))
-    made = made.select("doc_id", "ghost", *key, "tie", "text", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), prints(F.col("text")).alias("own"), F.when(~F.col("ghost"), prints(F.col("edited"))).alias("changed"))
+    made = made.select("doc_id", "ghost", *key, "tie", "text", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), chosen(F.col("text")).alias("own"), F.when(~F.col("ghost"), chosen(F.col("edited"))).alias("changed"))
     made = made.withColumn("after", F.lead("own").over(Window.partitionBy(*key).orderBy("ghost", *order)))
     return made.filter(~F.col("ghost")).select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),
