@@ -4,9 +4,10 @@ Every k-gram of code points gets its polynomial (Rabin-Karp) hash; in each windo
 hash is chosen, the rightmost one on ties, and its position kept. Two texts that share a run of w + k - 1 code points
 share a chosen hash. One grain serves texts of every length and script.
 
-SQL functions keep no state from one element to the next, so the values of the rolling hash are made by doubling
-instead: the hash of 2m code points is that of the first m times BASE^m plus that of the next m. Likewise the least of
-2m k-grams is the lesser of two leasts of m. So a text takes log2(k) + log2(w) passes, not k + w operations a place.
+SQL functions keep no state from one element to the next, so the values of the rolling hash are made by joining
+instead: the hash of a pair is the first times BASE plus the second, and four pairs join by powers of BASE. Likewise the
+least of sixteen k-grams is the least of four leasts of four. So a place takes few steps, not one for each of its k
+code points and w k-grams. An edited text is hashed only from where its windows differ from the text's.
 
 A chosen k-gram is one long: 31 bits of hash, then the position counted downward, so that the least long is the
 least hash with the rightmost position. A text of fewer than k code points is one k-gram (zeros follow); an empty text
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import only
 
-#: Code points of a k-gram, and k-grams of a window; both powers of two.
+#: Fixed by how they are joined: code points of a k-gram (four pairs), and k-grams of a window (four fours).
 GRAM, WINDOW = 8, 16
 #: The hash's base and its modulus, a prime.
 BASE, PRIME = 1_103_515_245, (1 << 31) - 1
@@ -38,30 +39,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def chosen(text: Column) -> Column:
-    """array<bigint>: the chosen k-grams of a text, in order of position."""
+def codes(text: Column) -> Column:
+    """The code points of a text; an empty pattern cuts fast, but would cut the pairs that Java holds rare ones in."""
+    cut = F.when(F.rlike(text, F.lit("[\\x{10000}-\\x{10FFFF}]")), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).otherwise(F.split(text, ""))
+    return F.transform(F.slice(cut, F.lit(1), F.length(text)), lambda c: F.ascii(c).cast("bigint"))
+
 
-    def doubled(x: Column, m: int, both: Callable[[Column, Column], Column]) -> Column:
-        """both(x[i], x[i + m]) for every place where both are."""
-        return let(x, lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) - m), F.slice(v, F.lit(1 + m), F.size(v) - m), both))
+def window_leasts(text: Column, offset: Column) -> Column:
+    """array<bigint>: the least k-gram of each window of a text of at least one code point, which begins at position offset of the whole text."""
 
     def padded(x: Column, least: int, by: int) -> Column:
         return let(x, lambda v: F.when(F.size(v) < least, F.concat(v, F.array_repeat(F.lit(by).cast("bigint"), F.lit(least) - F.size(v)))).otherwise(v))
 
-    # The dot takes a code point, where an empty pattern would cut the pairs that Java holds rare ones in.
-    found = padded(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("bigint")), GRAM, 0)
-    m = 1
-    while m < GRAM:
-        found, m = doubled(found, m, _rolled(F.lit(pow(BASE, m, PRIME)).cast("bigint"))), 2 * m
-    found = F.transform(found, lambda h, i: F.shiftleft(h, 31) + (F.lit(_LAST).cast("bigint") - i))
-    found, m = padded(found, WINDOW, (1 << 62) + _LAST), 1
-    while m < WINDOW:
-        found, m = doubled(found, m, lambda a, b: F.least(a, b)), 2 * m
-    return F.when(F.length(text) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+    def over(x: Column, reach: int, made: Callable[[Callable[[int], Column], Column], Column]) -> Column:
+        """made(at, i) for every place i whose places up to i + reach are there; at(j) is the element at i + j."""
+        return let(x, lambda v: F.transform(F.slice(v, F.lit(1), F.size(v) - reach), lambda own, i: made(lambda j: F.get(v, i + j) if j else own, i)))
+
+    power = lambda m: F.lit(pow(BASE, m, PRIME)).cast("bigint")
+    prime = F.lit(PRIME).cast("bigint")
+    pairs = over(padded(codes(text), GRAM, 0), 1, lambda at, i: at(0) * power(1) + at(1))
+    joined = lambda at: ((((at(0) % prime) * power(2) + at(2)) % prime * power(2) + at(4)) % prime * power(2) + at(6)) % prime
+    # The place of the first k-gram is found once, not for each one.
+    grams = let(F.lit(_LAST).cast("bigint") - offset, lambda first: over(pairs, GRAM - 2, lambda at, i: F.shiftleft(joined(at), 31) + (first - i)))
+    fours = over(padded(grams, WINDOW, (1 << 62) + _LAST), 3, lambda at, i: F.least(at(0), at(1), at(2), at(3)))
+    return over(fours, WINDOW - 4, lambda at, i: F.least(at(0), at(4), at(8), at(12)))
+
+
+def chosen(text: Column) -> Column:
+    """array<bigint>: the chosen k-grams of a text, in order of position."""
+    return F.when(F.length(text) > 0, F.array_distinct(window_leasts(text, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def chosen_twice(text: Column, edited: Column, same: Column) -> Column:
+    """struct<own, changed>: the chosen k-grams of a text and of an edited text that begins with the same ``same`` code points.
+
+    Windows that lie in these are those of the text; the rest is made from the place where the first other window begins.
+    """
 
+    def both(w: Column, shared: Column) -> Column:
+        tail = window_leasts(F.substring(edited, shared + 1, F.length(edited)), shared)
+        return F.struct(F.array_distinct(w).alias("own"), F.array_distinct(F.concat(F.slice(w, F.lit(1), shared), tail)).alias("changed"))
 
-def _rolled(power: Column) -> Callable[[Column, Column], Column]:
-    return lambda a, b: (a * power + b) % F.lit(PRIME)
+    none, common = F.array().cast("array<bigint>"), F.greatest(F.lit(0), same - (GRAM + WINDOW - 2))
+    return F.when(F.length(text) > 0, let(common, lambda shared: let(window_leasts(text, F.lit(0)), lambda w: both(w, shared)))).otherwise(F.struct(none.alias("own"), none.alias("changed")))
 
 
 def shown(found: Column) -> Column:
@@ -157,10 +177,11 @@ def _result(every: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     new = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
-    made = every.select("doc_id", "ghost", *key, "tie", "text", new.alias("edited"))
-    made = made.select("doc_id", "ghost", *key, "tie", "text", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), chosen(F.col("text")).alias("own"), F.when(~F.col("ghost"), chosen(F.col("edited"))).alias("changed"))
-    made = made.withColumn("after", F.lead("own").over(Window.partitionBy(*key).orderBy("ghost", *order)))
+    made = every.select("doc_id", "ghost", *key, "tie", "text", n.alias("n"), (n - third).alias("same"), F.when(F.col("ghost"), F.col("text")).otherwise(new).alias("edited"))
+    both = chosen_twice(F.col("text"), F.col("edited"), F.col("same"))
+    made = made.select("doc_id", "ghost", *key, "tie", "text", F.col("n").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), both.alias("both"))
+    made = made.withColumn("after", F.lead("both.own").over(Window.partitionBy(*key).orderBy("ghost", *order)))
     return made.filter(~F.col("ghost")).select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("both.own")).alias("fingerprint"), shown(F.col("both.changed")).alias("edited_fingerprint"),
+        likeness(F.col("both.own"), F.col("both.changed")).alias("near_edited"), likeness(F.col("both.own"), F.col("after")).alias("near_next"),
     )
