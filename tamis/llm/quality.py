@@ -3,9 +3,10 @@
 Labels give preferences: a document labelled good is preferred to one labelled bad. The model holds that the better
 of two wins with probability sigmoid(w . (f(better) - f(worse))); w minimises the logistic loss over feature
 differences, by Newton's method. A document's strength is w . f(text), and a quantile of the strengths of labelled
-documents is the threshold at which its score is one half.
+documents is the threshold at which its score is one half: a given one, or the one with the fewest errors on them.
 
-Features are shares and ratios of the whole text, never its language, source or id.
+Features are shares and ratios of the whole text and, hashed to LEXICAL places, the shares of its words and word pairs;
+never its language, source or id.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import only
 
-#: Labelled documents that the model is fitted on at most (by hash of the id), and preference pairs at most.
+#: Labelled documents that the model is fitted on at most (by hash of the id), and preference pairs drawn of theirs at most.
 SAMPLE, PAIRS = 20_000, 40_000
+#: Places of hashed words and word pairs, and how far a standardised feature counts.
+LEXICAL, FAR = 128, 8.0
 #: Weight of the quadratic penalty, and Newton steps.
 PENALTY, STEPS = 1e-3, 25
-NAMES = ("upper", "signs", "signs_any", "bars", "bars_any", "digits", "blank", "repeats", "repeats_any", "fresh", "fresh_lines", "word_length", "log_words", "sentences", "loud")
+NAMES = ("upper", "signs", "signs_any", "bars", "bars_any", "digits", "blank", "repeats", "repeats_any", "fresh", "fresh_lines", "word_length", "log_words", "sentences", "loud", *(f"words_{i}" for i in range(LEXICAL)))
 
 _KINDS = np.zeros(256, "uint8")
 _KINDS[ord("A") : ord("Z") + 1] = 1
@@ -37,11 +41,11 @@ _KINDS[ord("|")] = 6
 _KINDS[128:] = 7
 
 
-def features(data: bytes) -> list[float]:
+def features(data: bytes) -> np.ndarray:
     """The features of a whole text in UTF-8, in the order of NAMES; zeros for a text without words."""
     words = data.split()
     if not words:
-        return [0.0] * len(NAMES)
+        return np.zeros(len(NAMES))
     raw = np.frombuffer(data, "uint8")
     n = np.bincount(_KINDS[raw], minlength=8)
     accents = np.flatnonzero(raw[:-1] == 0xC3)
@@ -53,10 +57,25 @@ def features(data: bytes) -> list[float]:
     lines = [x for x in data.split(b"\n") if x.strip()]
     fresh = len(set(low)) / m
     signs, bars = n[5] / size, n[6] / m
-    return [
+    shares = [
         upper / max(1, upper + lower), signs, min(1.0, 25 * signs), bars, min(1.0, 10 * bars), n[3] / size, n[4] / size, repeats, min(1.0, 10 * repeats),
         fresh * min(1.0, np.log1p(m) / 6), len(set(lines)) / max(1, len(lines)), min(2.0, (size - n[4]) / m / 10), np.log1p(m) / 10, min(1.0, data.count(b".") * 10 / m), data.count(b"!") / m,
     ]
+    if len(_hashes) > 400_000:
+        _hashes.clear()
+    h = np.fromiter(map(_hashes.__getitem__, low), "uint64", m)
+    pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    at = np.concatenate([h, pairs ^ pairs >> np.uint64(29)]) % np.uint64(LEXICAL)
+    return np.concatenate([shares, np.sqrt(np.bincount(at.astype("int64"), minlength=LEXICAL) / (2 * m))])
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
 
 
 def vectors(texts: pa.Array) -> np.ndarray:
@@ -77,17 +96,24 @@ class BradleyTerry:
 
     def scores(self, found: np.ndarray) -> np.ndarray:
         """From 0 to 1; one half at the threshold."""
-        return sigmoid((found - self.mean) / self.spread @ self.weights - self.threshold)
+        return sigmoid(standard(found, self.mean, self.spread) @ self.weights - self.threshold)
 
 
-def fit(found: np.ndarray, good: np.ndarray, seed: int = 5) -> BradleyTerry:
-    """The model of labelled features; with only one label, or none, every score lies on that label's side."""
-    width = len(NAMES)
+def standard(found: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((found - mean) / spread, -FAR, FAR)
+
+
+def fit(found: np.ndarray, good: np.ndarray, quantile: float | None = None, seed: int = 5) -> BradleyTerry:
+    """The model of labelled features; with only one label, or none, every score lies on that label's side.
+
+    quantile: share of the labelled documents that are to lie below the threshold; the one with the fewest errors unless given.
+    """
+    width = found.shape[1]
     if not good.any() or good.all():
         side = 1.0 if good.any() or not len(good) else -1.0
         return BradleyTerry(np.zeros(width), np.zeros(width), np.ones(width), 0.0, -side)
     mean, spread = found.mean(0), found.std(0) + 1e-6
-    x = np.clip((found - mean) / spread, -8, 8)
+    x = standard(found, mean, spread)
     better, worse = np.flatnonzero(good), np.flatnonzero(~good)
     draw = np.random.default_rng(seed)
     pairs = min(PAIRS, len(better) * len(worse))
@@ -101,7 +127,7 @@ def fit(found: np.ndarray, good: np.ndarray, seed: int = 5) -> BradleyTerry:
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    strength = (found - mean) / spread @ w
+    strength = x @ w
     order = np.argsort(strength, kind="stable")
     # Errors if the k weakest count as bad, for every k; the threshold is the quantile with the fewest.
     bad_below = np.concatenate([[0], np.cumsum(~good[order])])
@@ -110,7 +136,7 @@ def fit(found: np.ndarray, good: np.ndarray, seed: int = 5) -> BradleyTerry:
     best = np.flatnonzero(errors == errors.min())
     s = strength[order]
     gaps = [(s[k] if k < len(s) else s[-1] + 1) - (s[k - 1] if k else s[0] - 1) for k in best]
-    k = int(best[int(np.argmax(gaps))])
+    k = int(best[int(np.argmax(gaps))]) if quantile is None else min(len(s), max(0, round(quantile * len(s))))
     threshold = ((s[k] if k < len(s) else s[-1] + 1) + (s[k - 1] if k else s[0] - 1)) / 2
     return BradleyTerry(w, mean, spread, k / len(s), float(threshold))
 
@@ -131,15 +157,15 @@ def learns(divisor: int, held: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor != held
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> BradleyTerry:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, quantile: float | None = None) -> BradleyTerry:
     def measured(batches):
         for batch in batches:
             found = vectors(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(found), pa.list_(pa.float64()))], names=["doc_id", "label", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "found"])
 
-    rows = labelled(docs, labels, "quality", learn, most).mapInArrow(measured, "doc_id bigint, label int, found array<double>").collect()
+    rows = labelled(docs, labels, "quality", learn, most).mapInArrow(measured, "doc_id bigint, label int, found binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["found"]))
-    return fit(np.array([r["found"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["label"] == 1 for r in rows], bool))
+    return fit(np.array([np.frombuffer(r["found"]) for r in rows]).reshape(-1, len(NAMES)), np.array([r["label"] == 1 for r in rows], bool), quantile)
 
 
 def score(docs: DataFrame, model: BradleyTerry, keep: tuple[str, ...] = ()) -> DataFrame:

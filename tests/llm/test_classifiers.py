@@ -113,12 +113,45 @@ def test_quality_held_out(spark):
 
 def test_preferences_are_learnt():
     draw = np.random.default_rng(1)
-    found = draw.normal(size=(400, len(quality.NAMES)))
+    found = draw.normal(size=(400, 15))
     good = found[:, 2] - found[:, 5] > -0.6
     model = quality.fit(found, good)
     assert ((model.scores(found) >= 0.5) == good).mean() > 0.97
 
 
+def test_fit_is_the_least_loss():
+    """Over all pairs of a few documents, plain gradient descent on the logistic loss of feature differences ends at the same weights; quantiles cut where they say."""
+    draw = np.random.default_rng(2)
+    found = draw.normal(size=(24, 4))
+    good = found[:, 0] + draw.normal(size=24) > 0
+    mean, spread = found.mean(0), found.std(0) + 1e-6
+    x = (found - mean) / spread
+    seed = np.random.default_rng(5)
+    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
+    pairs = len(better) * len(worse)
+    d = x[seed.choice(better, pairs)] - x[seed.choice(worse, pairs)]
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w += 0.2 * (d.T @ (1 / (1 + np.exp(d @ w))) / pairs - quality.PENALTY * w)
+    assert np.allclose(quality.fit(found, good).weights, w, atol=1e-4)
+    for q in (0.0, 0.25, 0.5, 1.0):
+        model = quality.fit(found, good, q)
+        assert model.quantile == q and (model.scores(found) < 0.5).mean() == q
+    far = found * 1e6
+    assert np.allclose(quality.fit(found, good).scores(far), quality.fit(found, good).scores(np.clip(far, mean - 8 * spread, mean + 8 * spread)))
+
+
+def test_words_tell_quality(spark):
+    """Texts alike in every ratio, told apart by their words alone."""
+    draw = random.Random(4)
+    good, bad = ([f"{a}{i}xyz" for i in range(10)] for a in "gb")
+    rows = [(i, " ".join(draw.choice(good if i % 2 else bad) for _ in range(40))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = quality.score(docs, quality.train(docs, labels, quality.learns(3, 1))).collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in got) > 390
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_holes(spark, docs, rows, clashing, empty_docs, module):
     column = "toxic" if module is toxicity else "quality"
