@@ -73,26 +73,28 @@ def ratio(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
 class Index:
     """Unit vectors over numbered terms, in blocks of BLOCK alike documents.
 
-    What travels is each term's documents and counts; weights, rows and block maxima are made where it arrives.
+    What travels is each term's documents and counts; weights, rows and block maxima are made where it is searched.
     """
 
+    idf = None
+
     @staticmethod
     def of(ids, labels, sizes, terms_, counts, boost) -> Index:
         """The terms and counts of all documents, one after the other, sizes of each; boost: a weight for each term."""
-        made, by_term = Index(), np.argsort(terms_, kind="stable")
-        number = np.repeat(np.arange(len(ids)), sizes)[by_term]
-        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        made, small = Index(), lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         made.ids, made.labels, made.sizes, made.boost = ids, labels, sizes, boost.astype("float32")
-        made.df, made.number, made.counts = small(np.bincount(terms_, minlength=len(boost))), small(number), small(counts[by_term])
-        made._weigh()
+        made.df = small(np.bincount(terms_, minlength=len(boost)))
+        by_term = np.argsort(terms_, kind="stable")
+        made.counts, made.number = small(counts)[by_term], np.repeat(small(np.arange(len(ids))), sizes)[by_term]
         return made
 
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("ids", "labels", "sizes", "boost", "df", "number", "counts")}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._weigh()
+    def ready(self) -> Index:
+        if self.idf is None:
+            self._weigh()
+        return self
 
     def _weigh(self) -> None:
         n, df, number = len(self.ids), self.df.astype("int64"), self.number.astype("int64")
@@ -123,6 +125,7 @@ class Index:
 
     def groups(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The group of alike documents that each query is nearest to."""
+        self.ready()
         return _nearest(self._rows(queries), self.centres)
 
     def _rows(self, queries) -> np.ndarray:
@@ -137,6 +140,7 @@ class Index:
 
         without: for each query, numbers that are left out, or None. Cosines are sums in single precision, to five places.
         """
+        self.ready()
         q, size, blocks = self._rows(queries), len(self.common), len(self.most)
         sums = np.stack([self._rare(*query, size) for query in queries])
         bounds = q @ self.most.T + sums.reshape(len(q), blocks, BLOCK).max(2)
@@ -239,7 +243,7 @@ class Model:
                     extra[at] = extra.get(at, 0) + counts[w]
             own = np.concatenate([own, np.array(list(extra), "int64")])
             tf = np.concatenate([tf, 1 + np.log(np.array(list(extra.values()), "int64"))])
-        weights = tf * self.index.idf[own]
+        weights = tf * self.index.ready().idf[own]
         return own, weights / math.sqrt(float(weights @ weights) + rare * (math.log(1 + len(self.index.ids)) + 1) ** 2 or 1.0)
 
     def _find(self, hashes: list[int]) -> list[int]:
@@ -325,10 +329,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     lengths = np.array([len(x.as_py()) // 8 for x in table.column("terms")], "int64")
     terms_, counts = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("terms", "int64"), ("counts", "int32")))
     del table
-    hashes, terms_ = np.unique(terms_, return_inverse=True)
+    hashes = np.unique(terms_)
+    numbers = np.empty(len(terms_), "int32")
+    for i in range(0, len(terms_), 1 << 20):  # in parts, since the driver is small
+        numbers[i : i + (1 << 20)] = np.searchsorted(hashes, terms_[i : i + (1 << 20)])
+    del terms_
     boost = np.where(np.isin(hashes, [hashed(t.encode()) for t in leaning]), BOOST, 1.0)
     some, bare = lengths > 0, labels_[lengths == 0]
-    index = Index.of(ids[some].astype("int64"), labels_[some].astype("float64"), lengths[some], terms_, counts, boost)
+    index = Index.of(ids[some].astype("int64"), labels_[some].astype("float64"), lengths[some], numbers, counts, boost)
     without = (bare.sum() + 0.5) / (len(bare) + 1) if len(bare) else min(0.49, (n_toxic + 0.5) / (n_toxic + n_clean + 1))
     model = Model(index, hashes, begun, np.zeros(3), float(without))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,7 +16,7 @@ def as_index(rows, terms):
     """An index of rows (label, {term: count}), and their dense unit vectors."""
     sizes = np.array([len(c) for _, c in rows])
     terms_, counts = (np.array([x for _, c in rows for x in f(c)], "int64") for f in (dict.keys, dict.values))
-    index = toxicity.Index.of(np.arange(len(rows)), np.array([r[0] for r in rows], "float64"), sizes, terms_, counts, np.ones(terms))
+    index = toxicity.Index.of(np.arange(len(rows)), np.array([r[0] for r in rows], "float64"), sizes, terms_, counts, np.ones(terms)).ready()
     dense = np.zeros((len(rows), terms))
     for i, (_, c) in enumerate(rows):
         own, w = unit(c, index.idf)
@@ -66,6 +66,7 @@ def test_scores_of_the_query(spark, monkeypatch):
     for i in known:
         for w in set(texts[i]):
             df[w] = df.get(w, 0) + 1
+    model.index.ready()
     lean = {w: model.index.idf[at] / (np.log((1 + n) / (1 + df[w])) + 1) for w in df for at in model._find([toxicity.hashed(w)])}
 
     def vector(own):
