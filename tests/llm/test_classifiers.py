@@ -47,7 +47,7 @@ def test_search_is_exact(monkeypatch, common):
         q[own] = w
         want = dense @ q
         assert np.allclose(cosines, np.sort(want[want > 1e-9])[::-1][:15], atol=2e-5) and np.allclose(want[index.ids[at]], cosines, atol=2e-5)
-    index = pickle.loads(pickle.dumps(index))
+    index = pickle.loads(pickle.dumps(index)).ready()
     (at, _), (others, _) = index.search([unit(rows[5][1], index.idf)] * 2, 15, [None, [5]])
     assert 5 in at and 5 not in others
 
