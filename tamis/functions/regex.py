@@ -179,6 +179,23 @@ def search(pattern: str, flags: str = "") -> Search:
     return Search(f"(?{inline}){java}")
 
 
+def of_row(pattern: str) -> str | None:
+    """The Java form of a pattern that a row holds, or None; no JVM is at hand there, so an engine that refuses the same mistakes looks at it."""
+    try:
+        java = translate(pattern)
+    except _Refused:
+        return None
+    try:
+        import regex as engine
+    except ImportError:
+        import re as engine
+    try:
+        engine.compile(pattern)
+    except Exception:  # noqa: BLE001  whatever the engine says, it is no pattern
+        return None
+    return f"(?dU){java}"
+
+
 def _java_takes(java: str) -> bool:
     from pyspark import SparkContext
 

@@ -208,26 +208,12 @@ def _against_cell(a: Cell, op: str, b: Cell) -> Bool:
 
 
 def _row_regex(shown: Column, pattern: Column) -> Column:
-    """A pattern of each row's own: no plan-time translation, so Python's engine, batch by batch."""
-    def run(texts_: pd.Series, patterns: pd.Series) -> pd.Series:
-        import re
-
-        from tamis.functions.regex import _Refused, translate
-
-        known: dict = {}
-        out = []
-        for t, p in zip(texts_, patterns, strict=True):
-            if t is None or p is None:
-                out.append(False)
-                continue
-            if p not in known:
-                try:
-                    translate(p)
-                    known[p] = re.compile(p.replace("\\z", "\\Z"))
-                except (_Refused, re.error):
-                    known[p] = None
-            found = known[p]
-            out.append(p in t if found is None else found.search(t) is not None)
-        return pd.Series(out)
-
-    return F.pandas_udf(run, "boolean")(shown, pattern)
+    """A pattern of each row's own: translated in Arrow batches, once for each pattern of a batch, and run by the JVM; what is no pattern is contained or not."""
+
+    def run(patterns: pd.Series) -> pd.Series:
+        from tamis.functions.regex import of_row
+
+        return patterns.map({p: of_row(p) for p in patterns.dropna().unique()})
+
+    java = F.pandas_udf(run, "string")(pattern)
+    return F.when(java.isNotNull(), F.rlike(shown, java)).otherwise(F.contains(shown, pattern))

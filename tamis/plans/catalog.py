@@ -45,6 +45,7 @@ ON_TABLES: dict[str, tuple[str, str, str]] = {
     "field_vs_field": ("lineitem", "l_tax < l_discount [${l_orderkey}-${l_linenumber}]", "select l_orderkey || '-' || l_linenumber as value from lineitem where l_tax < l_discount"),
     "field_eq_field": ("lineitem", "l_orderkey == l_partkey $l_orderkey", "select l_orderkey::varchar as value from lineitem where l_orderkey = l_partkey"),
     "selector_flat": ("events", "event_type", "select event_type as value from events"),
+    "quoted_selector": ("events", '"event_type"', "select event_type as value from events"),
     "selector_number": ("events", "value", "select value::varchar as value from events"),
     "selector_missing": ("events", "nope", "select event_type as value from events where false"),
     "array_index": ("embeddings", "embedding.0 > 0 $vec_id", "select vec_id::varchar as value from embeddings where embedding[1] > 0"),
@@ -170,6 +171,45 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.pandas_udf(name, "string")("text").alias("format")).groupBy("format").agg(F.count("*").alias("n"))
 
 
+def regex_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").withColumn("pattern", F.when(F.col("event_id") % 3 == 0, "[bad").when(F.col("event_id") % 3 == 1, "^[[:alpha:]]+k$").otherwise("^\\p{Lu}|gn"))
+    return api.query(df, "event_type ~= pattern [${event_id}]")
+
+
+def two_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.query(table(spark, sf_dir, "events"), 'event_type == "error"', "[${event_id}]")
+
+
+def _nations(spark: SparkSession, sf_dir: str, *parts) -> DataFrame:
+    return _joined(spark, sf_dir, "nation", "n_nationkey", F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]))
+
+
+def json_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _document(spark, table(spark, sf_dir, "nation").agg(F.concat(F.lit('{\n "last": "'), F.max("n_name"), F.lit('",\n "n": 1\n}')).alias("text")))
+    return api.run(docs, "n == 1 [<${last}>]").values.select("value")
+
+
+def forced_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _nations(spark, sf_dir, F.col("n_nationkey").cast("string"), ",", F.col("n_name"))
+    return api.run(docs, "field_1", fmt="csv").values.select("value")
+
+
+def echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run(_nations(spark, sf_dir, '{"name": "', F.col("n_name"), '"}')).values.select("value")
+
+
+def convert_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.convert(_nations(spark, sf_dir, F.col("n_nationkey").cast("string"), ",", F.col("n_name"))).select("value")
+
+
+def toml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run(_nations(spark, sf_dir, 'name = "', F.col("n_name"), '"'), "name").values.select("value")
+
+
+def pretty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.run(_nations(spark, sf_dir, '{"a":{"k":', F.col("n_nationkey").cast("string"), "}}"), "a").values.select("value")
+
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flagship": (flagship, "select user_id || ': ' || event_id as value from events where event_type = 'error' and value > 100"),
     "null_cells": (null_cells, "select event_id || ' ' || case when event_type = 'view' then 'null' else event_type end as value from events where event_type = 'view' or contains(event_type, 'ul') or (event_type <> 'click' and starts_with(event_type, 'e'))"),
@@ -187,6 +227,14 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "yaml_document": (yaml_document, "select r_name as value from region where r_regionkey > 0"),
     "toml_document": (toml_document, "select (select r_name from region where r_regionkey = 0) || '-' || (select r_name from region where r_regionkey = 4) as value"),
     "union_sources": (union_sources, "select n_name as value from nation union all select r_name from region"),
+    "regex_field": (regex_field, "select event_id::varchar as value from events where case event_id % 3 when 0 then contains(event_type, '[bad') when 1 then regexp_matches(event_type, '^[a-zA-Z]+k$') else contains(event_type, 'gn') end"),
+    "two_arguments": (two_arguments, "select event_id::varchar as value from events where event_type = 'error'"),
+    "json_single": (json_single, "select '<' || max(n_name) || '>' as value from nation"),
+    "forced_format": (forced_format, "select n_name as value from nation"),
+    "echo": (echo, "select '{\"name\": \"' || n_name || '\"}' as value from nation"),
+    "convert_json": (convert_json, "select '[\"' || n_nationkey || '\",\"' || n_name || '\"]' as value from nation"),
+    "toml_lines": (toml_lines, "select n_name as value from nation"),
+    "pretty_json": (pretty_json, "select '{' || chr(10) || '  \"k\": ' || n_nationkey || chr(10) || '}' as value from nation"),
     "detect_format": (detect_format, None),
 }
 

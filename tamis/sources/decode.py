@@ -159,24 +159,33 @@ def _numeric(field: str) -> bool:
     return bool(re.fullmatch(f"[0-9.+{BLANKS}-]*[0-9][0-9.+{BLANKS}-]*", field))
 
 
-def has_header(all_lines: list[str]) -> bool:
-    """Whether the first line names columns: it holds no number and no blank, and the lines after it look like data or it like names."""
-    if len(all_lines) < 2:
-        return False
+def _datum(field: str) -> bool:
+    return _numeric(field) or any(sign in field for sign in ("@", "http")) or ("-" in field and "_" not in field)
+
+
+def _name(field: str) -> bool:
+    return not {"_", " "}.isdisjoint(field) or all(c.isalpha() and not c.isupper() for c in field)
+
+
+def _cells(line: str) -> list[str]:
+    """The trimmed fields of a line; none where it holds no record."""
     try:
-        first = [trim(f) for f in csv_line(all_lines[0])]
+        return [trim(f) for f in csv_line(line)]
     except Broken:
-        return False
-    if any(_numeric(f) or not f for f in first):
-        return False
-    for line in all_lines[1:6]:
-        try:
-            fields = [trim(f) for f in csv_line(line)]
-        except Broken:
-            continue
-        if any(_numeric(f) or "@" in f or "http" in f or "-" in f and "_" not in f for f in fields):
-            return True
-    return any("_" in f or " " in f or all(c.isalpha() and not c.isupper() for c in f) for f in first)
+        return []
+
+
+def has_header(all_lines: list[str]) -> bool:
+    """Whether the first line names columns: it holds no number and no blank, and the lines after it look like data or it like names."""
+    first, *others = map(_cells, all_lines[:6]) if len(all_lines) > 1 else [[]]
+    could = bool(first) and all(f and not _numeric(f) for f in first)
+    return could and (any(_datum(f) for row in others for f in row) or any(map(_name, first)))
+
+
+def _places(names: list[str], width: int) -> list[tuple[str, int]]:
+    """The keys of a record and the places of their fields: by number, by field_i, and by the header's names, which come last and so win."""
+    by_number = [(key, i) for i in range(width) for key in (f"{i + 1}", f"field_{i}")]
+    return by_number + [(key.replace("*", name), i) for i, name in enumerate(names[:width]) for key in ("*", "$*", "${*}")]
 
 
 def csv_document(text: str) -> list[Record]:
@@ -184,33 +193,20 @@ def csv_document(text: str) -> list[Record]:
 
     The original text of the n-th record is the n-th physical line, also after blank lines and line breaks in quotes.
     """
-    physical = lines(text)
-    if not physical:
-        raise Broken("no line")
+    physical, rows = lines(text), csv_rows(text)
+    if not physical or not rows:
+        raise Broken("no record")
     header = has_header(physical)
-    try:
-        names = [trim(f).lower() for f in csv_line(physical[0])] if header else []
-    except Broken:
-        names = []
+    places = _places([name.lower() for name in _cells(physical[0])] if header else [], len(rows[0]))
     found = []
-    for i, row in enumerate(csv_rows(text)):
-        if row is None:
-            continue
-        own = physical[i] if i < len(physical) else None
-        value: dict[str, object] = {"0": own if own is not None else trim(text)}
-        for k, f in enumerate(row):
-            value[str(k + 1)] = value[f"field_{k}"] = f
-        if own is not None:
-            value["${0}"] = own
-        if header and i:
-            for name, f in zip(names, row, strict=False):
-                value[name] = value["$" + name] = value["${" + name + "}"] = f
-        value["_array"] = row
-        raw = value.pop(ORIGINAL, own)
-        found.append(Record(value, raw if isinstance(raw, str) else own, i))
-    if not found:
-        raise Broken("no record")
-    return found[1:] if header else found
+    for i in range(int(header), len(rows)):
+        if (row := rows[i]) is not None:
+            own = physical[i] if i < len(physical) else None
+            whole = {"0": trim(text)} if own is None else {"0": own, "${0}": own}
+            value = whole | {key: row[place] for key, place in places} | {"_array": row}
+            raw = value.pop(ORIGINAL, own)
+            found.append(Record(value, raw if isinstance(raw, str) else own, i))
+    return found
 
 
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}

@@ -61,27 +61,32 @@ def _first_lines(text: str, n: int) -> int:
     return at
 
 
+#: What speaks for a format on a line (as it is, and trimmed) that is neither blank nor a comment, and how much.
+SIGNS = {
+    TOML: (
+        (2, lambda raw, line: " = " in line and line[0] != '"'),
+        (3, lambda raw, line: line[0] == "[" and line[-1] == "]" and ":" not in line),
+        (3, lambda raw, line: line[:2] == "[[" and line[-2:] == "]]"),
+    ),
+    YAML: (
+        (1, lambda raw, line: ": " in line and line[0] != '"' and " = " not in line),
+        (1, lambda raw, line: line[:2] == "- "),
+        (2, lambda raw, line: raw[:2] == "  " and (": " in raw or line[:2] == "- ")),
+    ),
+}
+
+
+def _signs(fmt: str, head: list[str]) -> int:
+    told = [(raw, line) for raw in head if (line := trim(raw)) and line[0] != "#"]
+    return sum(weight for weight, holds in SIGNS[fmt] for raw, line in told if holds(raw, line))
+
+
 def likely_toml(head: list[str]) -> bool:
-    signs = 0
-    for line in map(trim, head):
-        if not line or line.startswith("#"):
-            continue
-        signs += 2 * (" = " in line and not line.startswith('"'))
-        signs += 3 * (line.startswith("[") and line.endswith("]") and ":" not in line)
-        signs += 3 * (line.startswith("[[") and line.endswith("]]"))
-    return signs >= 2
+    return _signs(TOML, head) >= 2
 
 
 def likely_yaml(head: list[str]) -> bool:
-    signs = 0
-    for whole in head:
-        line = trim(whole)
-        if not line or line.startswith("#"):
-            continue
-        signs += ": " in line and not line.startswith('"') and " = " not in line
-        signs += line.startswith("- ")
-        signs += 2 * (whole.startswith("  ") and (": " in whole or line.startswith("- ")))
-    return signs >= 2
+    return _signs(YAML, head) >= 2
 
 
 def likely_csv(head: list[str]) -> bool:

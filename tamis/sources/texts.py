@@ -69,8 +69,8 @@ class Lines:
 def lines(source: DataFrame, fmt: str, column: str = "value") -> Lines:
     """The lines of a text column, each a record of one known format; blank and broken lines are left out.
 
-    Stays in the JVM for JSON and text; logfmt does unless the line holds a quote or backslash, and CSV goes
-    through Python in Arrow batches. Works for batches and streams alike.
+    Stays in the JVM for JSON and text. Of a table, only logfmt lines with a quote or backslash go through Python, as a
+    branch of their own that reads the source once more; quoted CSV goes through Python in Arrow batches. Works for batches and streams alike.
     """
     raw = F.regexp_replace(F.col(column), "\\r\\z", "")
     rows = source.withColumn("raw", raw).filter(~F.col("raw").rlike(f"^[{BLANKS}]*\\z"))
@@ -84,8 +84,13 @@ def lines(source: DataFrame, fmt: str, column: str = "value") -> Lines:
         rows = rows.withColumn("parts", F.filter(F.split("raw", f"[{BLANKS}]+"), lambda w: w != ""))
         return Lines(rows, Text(F.col("parts"), F.col("raw")))
     if fmt == LOGFMT:
-        rows = rows.withColumn("simple", F.col("raw").rlike(SIMPLE))
-        rows = rows.withColumn("pairs", _pairs(F.when(~F.col("simple"), F.col("raw")))).filter("simple or pairs is not null")
+        simple = F.col("raw").rlike(SIMPLE)
+        if rows.isStreaming:  # a stream is read once, so its simple lines pass by Python as nulls
+            rows = rows.withColumn("simple", simple).withColumn("pairs", _pairs(F.when(~F.col("simple"), F.col("raw")))).filter("simple or pairs is not null")
+        else:
+            plain = rows.filter(simple).withColumn("simple", F.lit(True)).withColumn("pairs", F.lit(None).cast("map<string,string>"))
+            others = rows.filter(~simple).withColumn("simple", F.lit(False)).withColumn("pairs", _pairs(F.col("raw"))).filter("pairs is not null")
+            rows = plain.unionByName(others)
         return Lines(rows, Pairs(F.col("simple"), F.col("pairs"), F.col("raw")))
     if fmt == CSV:
         rows = rows.withColumn("parts", _fields(F.col("raw"))).filter("parts is not null")
@@ -111,7 +116,7 @@ def _pairs(raw: Column) -> Column:
 
         return s.map(one)
 
-    return F.pandas_udf(run, "map<string,string>")(raw)
+    return F.pandas_udf(run, "map<string,string>").asNondeterministic()(raw)
 
 
 def _fields(raw: Column) -> Column:
