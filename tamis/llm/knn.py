@@ -8,7 +8,8 @@
    a vector x: x.p - r|x| <= q.x <= x.p + r|x|. The (k + 1)-th best lower bound over the summaries is a floor theta of
    the k-th best score of every query in the group (one more, as a query's own row may be among them).
 4. A vector goes to a group only if its upper bound reaches theta; a cell as a whole is left out by the same bound
-   on its summary. What goes there is dealt by (group, block of queries, chunk of vectors) and solved locally.
+   on its summary. What goes there is dealt by (group, block of queries, chunk of a cell) and solved locally; a query
+   goes only to the chunks of cells that are open to its group.
 
 Scores are exact integers: products run in float64 while they fit 2^53, else in Python's integers.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import Scratch, only
 
-#: Vectors that the pivots are fitted on, and pivots; both only steer speed.
-SAMPLE, PIVOTS = 20_000, 64
+#: Vectors that the pivots are fitted on, and least and most pivots (between them a quarter of the root of all vectors); they only steer speed.
+SAMPLE, PIVOTS, MOST_PIVOTS = 20_000, 16, 2048
 #: Queries of a block, and vectors of a chunk (rough mean) that one task meets at once.
 BLOCK, CHUNK = 1024, 8192
 #: Room for float64 rounding in the bounds, as a share of the product of the norms.
@@ -71,9 +72,13 @@ def scaled(vector, scale: int) -> list[int] | None:
 
 
 def fit_pivots(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
-    """A few rounds of k-means from evenly spaced rows."""
+    """A few rounds of k-means from rows that are each the farthest from those before."""
     n = min(n, len(sample))
-    pivots = sample[np.linspace(0, len(sample) - 1, n).astype(int)].copy()
+    chosen, far = [0], np.full(len(sample), np.inf)
+    for _ in range(n - 1):
+        far = np.minimum(far, np.square(sample - sample[chosen[-1]]).sum(1))
+        chosen.append(int(far.argmax()))
+    pivots = sample[chosen].copy()
     for _ in range(rounds):
         near = nearest(sample, pivots)
         for k in range(n):
@@ -86,17 +91,9 @@ def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return (np.square(pivots).sum(1) - 2.0 * (vectors @ pivots.T)).argmin(1)
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with all other rows.
-
-    vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by every; ties go to the smaller
-    vec_id. Components become floor(scale * x). Vectors that are null or hold null or non-finite components, and
-    rows without an id, take no part. Shorter vectors count as padded with zeros; an empty vector scores 0.
-    Repeated ids are rows of their own: each may be a candidate of the other, and each query row is answered.
-    Fewer candidates than k give fewer rows; an empty table none. Other columns take no part.
-    """
+def dealt(vectors: DataFrame, every: int, k: int, scale: int) -> tuple[DataFrame, DataFrame, int, int] | None:
+    """The queries and the vectors with the (group, block, chunk) they go to, the width of all vectors and the number of chunks; None without a query or a candidate."""
     spark = vectors.sparkSession
-
     def whole(batches):
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -106,14 +103,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     base = only(vectors, ("vec_id", "bigint"), ("embedding", "array<double>")).mapInArrow(whole, "vec_id bigint, vec array<bigint>")
     base = Scratch(base.withColumn("row", F.monotonically_increasing_id()), "vectors").df()
     shape = base.agg(F.max(F.size("vec")).alias("width"), F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not shape["queries"] or shape["n"] < 2:
-        return spark.createDataFrame([], schema)
+        return None
     width, n = max(1, shape["width"]), shape["n"]
 
     sample = base.orderBy(F.xxhash64("row")).limit(SAMPLE).select("vec").collect()
     some = as_matrix([r["vec"] for r in sample], width).astype("float64")
-    pivots = fit_pivots(some, PIVOTS)
+    pivots = fit_pivots(some, max(PIVOTS, min(MOST_PIVOTS, math.isqrt(n) // 4)))
 
     def celled(batches):
         for batch in batches:
@@ -123,8 +119,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype("int32")), pa.array(away)], names=["vec_id", "vec", "row", "cell", "away"])
 
     cells = Scratch(base.mapInArrow(celled, "vec_id bigint, vec array<bigint>, row bigint, cell int, away double"), "cells").df()
-    # At most PIVOTS radii and PIVOTS * (k + 1) vectors.
-    radius = {r["cell"]: r["radius"] for r in cells.groupBy("cell").agg(F.max("away").alias("radius")).collect()}
+    # At most MOST_PIVOTS radii and sizes, and MOST_PIVOTS * (k + 1) vectors.
+    per = cells.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()
+    radius, held = {r["cell"]: r["radius"] for r in per}, {r["cell"]: r["n"] for r in per}
     summary = _closest(cells, k + 1, width)
 
     is_query = F.col("vec_id") % every == 0
@@ -137,7 +134,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     size_c, size_p = np.sqrt(np.square(pivots).sum(1)), np.sqrt(np.square(centre).sum(1))
     over = centre @ pivots.T + wide * size_p[:, None] + reach[:, None] * (size_c + wide)
     open_cells = over + SLACK * (1 + (size_c + wide) * (size_p + reach)[:, None]) >= floor[:, None]
-    chunks = max(1, math.ceil(n / CHUNK))
+    # Cells of more than CHUNK vectors are cut; smaller ones share a chunk with their neighbours in number.
+    parts, first, at, room = np.ones(len(pivots), "int64"), np.zeros(len(pivots), "int64"), -1, 0
+    for c in range(len(pivots)):
+        size = held.get(c, 0)
+        parts[c] = max(1, -(-size // CHUNK))
+        if at < 0 or parts[c] > 1 or size > room:
+            at, room = at + 1, CHUNK
+        first[c], room = at, 0 if parts[c] > 1 else room - size
+        at += int(parts[c]) - 1
+    chunks = at + 1
+    goes_to = [np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in np.flatnonzero(own)])) if own.any() else np.zeros(0, "int64") for own in open_cells]
 
     def sent(batches):
         for batch in batches:
@@ -149,7 +156,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             bound = x @ centre.T + norm * reach + SLACK * (1 + norm * (size_p + reach))
             goes = (bound >= floor) & open_cells[:, cell].T
             at, group = np.nonzero(goes)
-            chunk = (batch.column("row").to_numpy() * 0x9E3779B1 % 2**32 % chunks)[at]
+            chunk = (first[cell] + (batch.column("row").to_numpy() * 0x9E3779B1 % 2**32 >> 7) % parts[cell])[at]
             taken = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(group.astype("int32")), pa.array(chunk.astype("int32")), taken.column("vec_id"), taken.column("row"), taken.column("vec")], names=["group", "chunk", "vec_id", "row", "vec"])
 
@@ -165,7 +172,30 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
         data = data.withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
     else:
         data = data.withColumn("block", F.lit(0))
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def sent_queries(batches):
+        for batch in batches:
+            own = [goes_to[g] for g in batch.column("group").to_pylist()]
+            many = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(many)).columns, pa.array((np.concatenate(own) if own else many).astype("int32"))], names=[*batch.schema.names, "chunk"])
+
+    asked = asked.mapInArrow(sent_queries, "`group` int, block int, vec_id bigint, row bigint, vec array<bigint>, chunk int")
+    return asked, data, width, chunks
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with all other rows.
+
+    vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by every; ties go to the smaller
+    vec_id. Components become floor(scale * x). Vectors that are null or hold null or non-finite components, and
+    rows without an id, take no part. Shorter vectors count as padded with zeros; an empty vector scores 0.
+    Repeated ids are rows of their own: each may be a candidate of the other, and each query row is answered.
+    Fewer candidates than k give fewer rows; an empty table none. Other columns take no part.
+    """
+    found = dealt(vectors, every, k, scale)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    asked, data, width, _ = found
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "row": [], "score": []}, dtype="int64")

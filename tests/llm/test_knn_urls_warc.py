@@ -40,6 +40,19 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted(map(tuple, got.collect())) == brute(rows, 10, 5)
 
 
+def test_only_open_cells_are_sent(spark, monkeypatch):
+    """In far-apart groups of vectors, queries and vectors go to few of the tasks that could be; the answer is that of all pairs."""
+    monkeypatch.setattr(knn, "CHUNK", 50)
+    draw = random.Random(3)
+    centres = [[100.0 * (i == j) for j in range(16)] for i in range(16)]
+    rows = [(i, [x + draw.gauss(0, 0.5) for x in centres[i % 16]], 0) for i in range(1600)]
+    df = spark.createDataFrame(rows, VECTORS)
+    asked, data, _, chunks = knn.dealt(df, 10, 5, 256)
+    queries = 160
+    assert chunks >= 16 and asked.count() <= queries * chunks / 4 and data.count() <= 1600 * 4
+    assert sorted(map(tuple, knn.top_k(df, 10, 5).collect())) == brute(rows, 10, 5)
+
+
 def test_top_k_edges(spark):
     few = [(0, [1.0, 2.0], 0), (50, [0.5, 0.0], 0), (7, [1.0, 1.0], 0)]
     assert sorted(map(tuple, knn.top_k(spark.createDataFrame(few, VECTORS), 50, 5).collect())) == brute(few, 50, 5)
