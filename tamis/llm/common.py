@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows up to which a table with a few numbers a row is broadcast (some 20 MB at most).
 BROADCAST_ROWS = 200_000
@@ -19,9 +18,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tamis.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.tamis.scratch", found)
     return found.rstrip("/")
@@ -94,7 +95,3 @@ def only(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     else:
         at = {name: f"`{name}`" for name in names}
     return df.select(*[(F.col(at[name]) if name in at else F.lit(None)).cast(kind).alias(name) for name, kind in columns])
-
-
-def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
