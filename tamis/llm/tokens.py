@@ -21,6 +21,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +141,7 @@ class PrefixCounter:
         self.words: dict[str, int] = {}
         self.chunks = _Counts(self)
         self.stepped = _Steps(self)
+        self.pieces: dict[str, bytes] = {}
 
     # words -----------------------------------------------------------------------------------------
 
@@ -217,6 +220,23 @@ class PrefixCounter:
         """counts[p]: tokens of the first p code points; the last one is the whole text's."""
         return counts_of(self.steps(text.encode())).tolist()
 
+    def piece(self, text: str) -> bytes:
+        """The steps of a word of lower-case Latin-1 letters, or of ASCII signs."""
+        known = self.pieces.get(text)
+        if known is None:
+            counts = self.word(self.shown(text))
+            if not text.isascii():
+                ends = [0]
+                for c in text:
+                    ends.append(ends[-1] + (1 if c < "\x80" else 2))
+                counts = [counts[k] for k in ends]
+            known = changes(counts)
+            if len(text) <= 64:
+                if len(self.pieces) >= CHUNKS // 2:
+                    self.pieces.clear()
+                self.pieces[text] = known
+        return known
+
     def run(self, text: str) -> list[int]:
         """The counts of all prefixes of a run without ASCII white space. A prefix that ends inside a special string counts it as plain text."""
         counts, total, at = [0], 0, 0
@@ -287,6 +307,11 @@ class PrefixCounter:
         return fits(self.steps(text.encode()), budget)
 
 
+def changes(counts: list[int]) -> bytes:
+    """The steps of counts; one more code point moves a count by less than a token's length, so a step beyond a signed byte is an error."""
+    return array("b", [b - a for a, b in pairwise(counts)]).tobytes()
+
+
 def counts_of(steps: bytes) -> np.ndarray:
     """counts[p] of the first p code points, from a stored table."""
     return np.concatenate([[0], np.cumsum(np.frombuffer(steps, "int8"), dtype="int64")])
@@ -341,10 +366,12 @@ class _Steps(dict):
         if not data or data[0] in b" \t\n\v\f\r":
             found = bytes(len(data))
         else:
-            change = np.diff(self.counter.run(data.decode()))
-            if np.abs(change).max() > 127:  # one more symbol moves the count by less than a token's length
-                raise OverflowError("a step beyond a signed byte")
-            found = change.astype("int8").tobytes()
+            text = data.decode()
+            plain = PLAIN.fullmatch(text)
+            if plain and "<|" not in text:
+                found = b"".join(self.counter.piece(x) for x in (plain[1].lower(), plain[2]) if x)
+            else:
+                found = changes(self.counter.run(text))
         if len(data) <= 64:
             self[data] = found
         return found
