@@ -24,6 +24,7 @@ import unicodedata
 from array import array
 from itertools import pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +65,7 @@ class Merges:
             if made not in self.parts:
                 self.parts[made], self.rank[made] = (left, right), rank
         self._sound: dict[int, bool] = {}
-        self._joins: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def joins(self, a: int, b: int) -> bool:
         """Whether the encoding of a's string followed by b's is [a, b].
@@ -73,7 +74,7 @@ class Merges:
         each other would have merged before a neighbour on the far side took one of them; at equal rank the
         leftmost merge runs first.
         """
-        known = self._joins.get((a, b))
+        known = self.known.get(a << 32 | b)
         if known is not None:
             return known
         x, y, before, or_equal, fits = a, b, None, False, True
@@ -89,9 +90,9 @@ class Merges:
                 before, or_equal, x = rx, False, self.parts[x][1]
             else:
                 before, or_equal, y = ry, True, self.parts[y][0]
-        if len(self._joins) > 2_000_000:
-            self._joins.clear()
-        self._joins[a, b] = fits
+        if len(self.known) > 2_000_000:
+            self.known.clear()
+        self.known[a << 32 | b] = fits
         return fits
 
     def sound(self, t: int) -> bool:
@@ -134,7 +135,10 @@ class PrefixCounter:
         sound = {s: t for s, t in vocab.items() if self.merges.sound(t)}
         self.open = {s: t for s, t in sound.items() if not s.endswith(MARK)}
         self.closed = {s[: -len(MARK)]: t for s, t in sound.items() if s.endswith(MARK)}
-        self.longest = max(map(len, [*self.open, *self.closed]))
+        self.strings = ahocorasick.Automaton()
+        for x in {*self.open, *self.closed}:
+            self.strings.add_word(x, (len(x), self.open.get(x, -1), self.closed.get(x, -1)))
+        self.strings.make_automaton()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.letters = byte_letters()
@@ -145,37 +149,34 @@ class PrefixCounter:
 
     # words -----------------------------------------------------------------------------------------
 
-    def states(self, s: str) -> tuple[list[int], list[int]]:
-        """The open states of a word's proper prefixes, by symbol: last token and count; s in byte letters."""
-        joins, is_open, longest = self.merges.joins, self.open.get, self.longest
-        n = len(s)
-        last, count = [-1] * n, [0] * n
-        for i in range(1, n):
-            for j in range(i - longest if i > longest else 0, i):
-                t = is_open(s[j:i])
-                if t is not None and (j == 0 or joins(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
-        return last, count
-
-    def closing(self, s: str, i: int, last: list[int], count: list[int]) -> int:
-        """Tokens of the first i symbols when the word ends there."""
-        for j in range(i - self.longest if i > self.longest else 0, i):
-            t = self.closed.get(s[j:i])
-            if t is not None and (j == 0 or self.merges.joins(last[j], t)):
-                return count[j] + 1
-        raise ValueError("the vocabulary lacks a symbol")
-
     def word(self, s: str) -> list[int]:
-        """Closed counts of all of a word's prefixes, by symbol."""
-        last, count = self.states(s)
-        return [0, *(self.closing(s, i, last, count) for i in range(1, len(s) + 1))]
+        """Closed counts of all of a word's prefixes, by symbol; s in byte letters.
+
+        The vocabulary's strings are found by one automaton, at each place the longest first; a prefix's state is the
+        first of them that can follow the state before it.
+        """
+        joins, known, n = self.merges.joins, self.merges.known.get, len(s)
+        last, count, ended = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for at, (m, t, closed) in self.strings.iter(s):
+            i, j = at + 1, at + 1 - m
+            before = last[j]
+            if closed >= 0 and not ended[i]:
+                fits = j == 0 or known(before << 32 | closed)
+                if fits or fits is None and joins(before, closed):
+                    ended[i] = count[j] + 1
+            if t >= 0 and not count[i]:
+                fits = j == 0 or known(before << 32 | t)
+                if fits or fits is None and joins(before, t):
+                    last[i], count[i] = t, count[j] + 1
+        if 0 in ended[1:]:
+            raise ValueError("the vocabulary lacks a symbol")
+        return ended
 
     def whole(self, s: str) -> int:
         """The closed count of the whole word, from a table of the words met before."""
         known = self.words.get(s)
         if known is None:
-            known = 1 if s in self.closed else self.closing(s, len(s), *self.states(s))
+            known = 1 if s in self.closed else self.word(s)[-1]
             if len(s) <= 64:
                 if len(self.words) >= CHUNKS // 2:
                     self.words.clear()
