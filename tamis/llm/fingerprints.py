@@ -7,7 +7,7 @@ share a chosen hash. One grain serves texts of every length and script.
 SQL functions keep no state from one element to the next, so the values of the rolling hash are made by joining
 instead: the hash of a pair is the first times BASE plus the second, and four pairs join by powers of BASE. Likewise the
 least of sixteen k-grams is the least of four leasts of four. So a place takes few steps, not one for each of its k
-code points and w k-grams. An edited text is hashed only from where its windows differ from the text's.
+code points and w k-grams. Of an edited text only the windows over its seam are hashed; the others are those of its two texts.
 
 A chosen k-gram is one long: 31 bits of hash, then the position counted downward, so that the least long is the
 least hash with the rightmost position. A text of fewer than k code points is one k-gram (zeros follow); an empty text
@@ -25,6 +25,8 @@ from tamis.llm.common import only
 
 #: Fixed by how they are joined: code points of a k-gram (four pairs), and k-grams of a window (four fours).
 GRAM, WINDOW = 8, 16
+#: Code points that a window of k-grams covers.
+REACH = GRAM + WINDOW - 1
 #: The hash's base and its modulus, a prime.
 BASE, PRIME = 1_103_515_245, (1 << 31) - 1
 #: Rows of a bucket of neighbouring ids, and buckets at most (their edges are broadcast, 1.6 MB).
@@ -70,18 +72,25 @@ def chosen(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.array_distinct(window_leasts(text, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def chosen_twice(text: Column, edited: Column, same: Column) -> Column:
-    """struct<own, changed>: the chosen k-grams of a text and of an edited text that begins with the same ``same`` code points.
+def first_chosen(found: Column, windows: Column) -> Column:
+    """The chosen k-grams of a text's first windows, out of all its chosen ones; these windows are whole."""
+    at = lambda v: F.lit(_LAST).cast("bigint") - v.bitwiseAND(F.lit(_LAST).cast("bigint"))
+    # The last window's choice is the least of all that were chosen in its reach; later ones are of later windows.
+    reach = lambda m: F.filter(found, lambda v: (at(v) >= m - 1) & (at(v) < m + (WINDOW - 1)))
+    upto = lambda m: let(at(F.array_min(reach(m))), lambda last: F.filter(found, lambda v: at(v) <= last))
+    return let(windows, lambda m: F.when(m > 0, upto(m)).otherwise(F.array().cast("array<bigint>")))
 
-    Windows that lie in these are those of the text; the rest is made from the place where the first other window begins.
-    """
 
-    def both(w: Column, shared: Column) -> Column:
-        tail = window_leasts(F.substring(edited, shared + 1, F.length(edited)), shared)
-        return F.struct(F.array_distinct(w).alias("own"), F.array_distinct(F.concat(F.slice(w, F.lit(1), shared), tail)).alias("changed"))
+def spliced(own: Column, after: Column, seam: Column, same: Column, taken: Column) -> Column:
+    """The chosen k-grams of ``same`` code points of one text and the first ``taken`` of another, from those of both.
 
-    none, common = F.array().cast("array<bigint>"), F.greatest(F.lit(0), same - (GRAM + WINDOW - 2))
-    return F.when(F.length(text) > 0, let(common, lambda shared: let(window_leasts(text, F.lit(0)), lambda w: both(w, shared)))).otherwise(F.struct(none.alias("own"), none.alias("changed")))
+    Only the windows over the seam are hashed anew: ``seam`` holds the code points of all windows that lie in neither.
+    """
+    before = F.greatest(F.lit(0), same - (REACH - 1))
+    # A seam shorter than a window is a whole short text, or lies in the first text's last window.
+    over = F.when((F.length(seam) >= REACH) | ((before == 0) & (F.length(seam) > 0)), window_leasts(seam, before)).otherwise(F.array().cast("array<bigint>"))
+    moved = F.transform(first_chosen(after, taken - (REACH - 1)), lambda v: v - same)
+    return F.array_distinct(F.concat(first_chosen(own, before), over, moved))
 
 
 def shown(found: Column) -> Column:
@@ -174,14 +183,22 @@ def _place(doc_id: Column, edges: list[int]) -> Column:
 
 
 def _result(every: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    n = F.length("text")
+    n, next_text = F.length("text"), F.coalesce("next_text", F.lit(""))
     third = F.floor(n / 3).cast("int")
-    new = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
-    made = every.select("doc_id", "ghost", *key, "tie", "text", n.alias("n"), (n - third).alias("same"), F.when(F.col("ghost"), F.col("text")).otherwise(new).alias("edited"))
-    both = chosen_twice(F.col("text"), F.col("edited"), F.col("same"))
-    made = made.select("doc_id", "ghost", *key, "tie", "text", F.col("n").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), both.alias("both"))
-    made = made.withColumn("after", F.lead("both.own").over(Window.partitionBy(*key).orderBy("ghost", *order)))
-    return made.filter(~F.col("ghost")).select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("both.own")).alias("fingerprint"), shown(F.col("both.changed")).alias("edited_fingerprint"),
-        likeness(F.col("both.own"), F.col("both.changed")).alias("near_edited"), likeness(F.col("both.own"), F.col("after")).alias("near_next"),
+    made = every.select("doc_id", "ghost", *key, "tie", "text", n.alias("n"), (n - third).alias("same"), F.substring(next_text, F.lit(1), third).alias("new"))
+    same, new = F.col("same"), F.col("new")
+    # From the first window that leaves the text to the last that enters the next one's part, or to the end where no window fits in it.
+    before = F.greatest(F.lit(0), same - (REACH - 1))
+    seam = F.concat(F.substring("text", before + 1, same - before), F.substring(new, F.lit(1), F.when(F.length(new) >= REACH, F.lit(REACH - 1)).otherwise(F.length(new))))
+    sha = F.sha2(F.concat(F.substring("text", F.lit(1), same), new).cast("binary"), 256)
+    made = made.select(
+        "doc_id", "ghost", *key, "tie", "text", F.col("n").cast("bigint").alias("n_chars"), sha.alias("edited_sha256"),
+        "same", F.length(new).alias("taken"), seam.alias("seam"), chosen(F.col("text")).alias("own"),
+    )
+    made = made.withColumn("after", F.lead("own").over(Window.partitionBy(*key).orderBy("ghost", *order))).filter(~F.col("ghost"))
+    changed = spliced(F.col("own"), F.coalesce("after", F.array().cast("array<bigint>")), F.col("seam"), F.col("same"), F.col("taken"))
+    made = made.select("doc_id", "n_chars", "edited_sha256", "own", "after", changed.alias("changed"))
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )

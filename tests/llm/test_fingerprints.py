@@ -128,3 +128,14 @@ def test_long_texts_without_blanks(spark, letters):
     rows = [(i, "".join(draw.choice(letters) for _ in range(4000))) for i in range(3)]
     for r in fp.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert 0.3 < r["near_edited"] < 1 and r["near_next"] < 0.1
+
+
+def test_edits_at_every_length(spark):
+    """Texts and neighbours of 0 to 3 windows: a seam at the start, over a whole text, or before an empty neighbour."""
+    draw = random.Random(12)
+    letters = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    lengths = [n for a in (0, 1, 2, 3, 22, 23, 32, 33, 34, 35, 45, 66, 67, 68, 69, 70, 120, 250) for b in (0, 1, 7, 22, 23, 24, 90) for n in (a, b)]
+    texts = [letters(n) for n in lengths]
+    got = {r["doc_id"]: r for r in fp.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    wrong = [(lengths[i], lengths[i - 1]) for i in range(len(texts)) if not held(got[i], texts[i], texts[i - 1])]
+    assert wrong == []
