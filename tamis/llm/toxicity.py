@@ -97,9 +97,13 @@ class Index:
         return self
 
     def _weigh(self) -> None:
-        n, df, number = len(self.ids), self.df.astype("int64"), self.number.astype("int64")
+        # Each worker does this, so the arrays of all postings are few: numbers stay small and weights change in place.
+        n, df, number = len(self.ids), self.df.astype("int64"), self.number
         self.idf = (np.log((1 + n) / (1 + df)) + 1) * self.boost
-        w = (1 + np.log(self.counts.astype("float64"))) * np.repeat(self.idf, df)
+        w = self.counts.astype("float64")
+        np.log(w, out=w)
+        w += 1
+        w *= np.repeat(self.idf, df)
         w /= np.sqrt(np.bincount(number, w * w, n))[number]
         blocks = max(1, -(-n // BLOCK))
         often = np.argsort(-df, kind="stable")[:COMMON]
@@ -114,7 +118,7 @@ class Index:
         self.centres = _centres(common[:n])  # [group of alike documents, frequent term]
         #: [place]: the document's number, by which ties go
         self.order = np.lexsort((self.sizes, _nearest(common[:n], self.centres)))
-        place = np.empty(n, "int64")
+        place = np.empty(n, "int32")
         place[self.order] = np.arange(n)
         common[:n] = common[self.order]
         self.common = common  # [place, frequent term]
