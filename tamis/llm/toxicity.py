@@ -30,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import Scratch, only
+from tamis.llm.common import Scratch, give_back, only
 from tamis.llm.quality import labelled, sigmoid
 
 #: Labelled documents that the model is fitted on at most; all words of all of them count.
 SAMPLE = 20_000
+#: Labelled documents whose words come to the driver at once.
+PART = 2500
 #: Neighbours that vote, documents of a block, neighbours shown as evidence.
 NEIGHBOURS, BLOCK, SHOWN = 15, 64, 5
 #: Frequent terms that are kept in rows, groups of alike documents, documents searched at once, weight of terms that lean toxic.
@@ -327,20 +329,30 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
                 found.append((np.array(list(counts), "int64").tobytes(), np.array(list(counts.values()), "int32").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], names=["doc_id", "label", "terms", "counts"])
 
-    # At most SAMPLE rows, with the counts of their own words.
-    table = sample.mapInArrow(vectors, "doc_id bigint, label int, terms binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    ids, labels_ = (table.column(c).to_numpy() for c in ("doc_id", "label"))
-    lengths = np.array([len(x.as_py()) // 8 for x in table.column("terms")], "int64")
-    terms_, counts = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("terms", "int64"), ("counts", "int32")))
-    del table
-    hashes = np.unique(terms_)
-    numbers = np.empty(len(terms_), "int32")
-    for i in range(0, len(terms_), 1 << 20):  # in parts, since the driver is small
-        numbers[i : i + (1 << 20)] = np.searchsorted(hashes, terms_[i : i + (1 << 20)])
-    del terms_
+    # At most SAMPLE rows, with the counts of their own words. They come in parts, by ranges of ids, since the driver is small.
+    every = np.sort(sample.select("doc_id").toArrow().column("doc_id").to_numpy())
+    edges = sorted({int(x) for x in every[PART::PART]})
+    part = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
+    found = Scratch(sample.mapInArrow(vectors, "doc_id bigint, label int, terms binary, counts binary").withColumn("part", part), "vectors", ["part"])
+    hashes, parts = np.zeros(0, "int64"), []
+    for i in range(len(edges) + 1):
+        table = found.df().filter(F.col("part") == i).select("doc_id", "label", "terms", "counts").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+        lengths = np.array([len(x.as_buffer()) // 8 for x in table.column("terms")], "int64")
+        own, counts = (np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), kind) for c, kind in (("terms", "int64"), ("counts", "int32")))
+        hashes = np.union1d(hashes, own)
+        parts.append((table.column("doc_id").to_numpy(), table.column("label").to_numpy(), lengths, own, counts.astype(np.min_scalar_type(int(counts.max(initial=0))))))
+        del table, own, counts
+    found.drop()
+    for i, x in enumerate(parts):
+        parts[i] = (*x[:3], np.searchsorted(hashes, x[3]).astype("int32"), x[4])
+    del x
+    ids, labels_, lengths, numbers, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    give_back()
     boost = np.where(np.isin(hashes, [hashed(t.encode()) for t in leaning]), BOOST, 1.0)
     some, bare = lengths > 0, labels_[lengths == 0]
     index = Index.of(ids[some].astype("int64"), labels_[some].astype("float64"), lengths[some], numbers, counts, boost)
+    del numbers, counts
     without = (bare.sum() + 0.5) / (len(bare) + 1) if len(bare) else min(0.49, (n_toxic + 0.5) / (n_toxic + n_clean + 1))
     model = Model(index, hashes, begun, np.zeros(3), float(without))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -355,7 +367,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE)
     votes = sample.repartition(24).mapInArrow(left_out, "vote double, top double, label double").collect() if len(index.ids) else []
     rows.drop()
     model.curve = calibrate(sorted(tuple(r) for r in votes))
-    shared.unpersist()
+    shared.destroy()
+    del votes
+    give_back()
     return model
 
 
@@ -365,10 +379,10 @@ def _leaning(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     The ratio grows with the number of toxic documents, so only terms that pass on it have their surroundings counted.
     """
     toxic = _documents_with(sample.filter("label = 1"), None).filter(F.col("docs") >= LEAST_SEEN)
-    toxic = {r["term"]: r["docs"] for r in toxic.collect()}
+    toxic = _counts(toxic)
     if not toxic:
         return []
-    clean = {r["term"]: r["docs"] for r in _documents_with(sample.filter("label = 0"), set(toxic)).collect()}
+    clean = _counts(_documents_with(sample.filter("label = 0"), set(toxic)))
 
     def leans(t: str, n: int) -> bool:
         other = clean.get(t, 0)
@@ -397,6 +411,11 @@ def _leaning(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(t for t, n in kept.items() if n >= LEAST_SEEN and leans(t, n))
 
 
+def _counts(found: DataFrame) -> dict[str, int]:
+    table = found.toArrow()
+    return dict(zip(table.column("term").to_pylist(), table.column("docs").to_pylist(), strict=True))
+
+
 def _documents_with(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
     """term, docs: how many texts hold each (wanted) word and word start."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -142,6 +143,29 @@ def test_fit_is_the_least_loss():
     assert np.allclose(quality.fit(found, good).scores(far), quality.fit(found, good).scores(np.clip(far, mean - 8 * spread, mean + 8 * spread)))
 
 
+def test_fit_holds_few_differences():
+    """The differences of all pairs are never there at once: a driver of a few hundred MB fits the largest sample."""
+    found = np.random.default_rng(3).normal(size=(4000, len(quality.NAMES)))
+    tracemalloc.start()
+    quality.fit(found, found[:, 2] > 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.6 * quality.PAIRS * found.shape[1] * 8
+
+
+def test_sample_comes_in_parts(spark, docs, monkeypatch):
+    """The model is the same in however many parts the labelled documents' words come."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(130)], "doc_id long, toxic int")
+    models = []
+    for part in (1000, 7, 1):
+        monkeypatch.setattr(toxicity, "PART", part)
+        models.append(toxicity.train(docs, labels, quality.learns(5, 0)))
+    assert len(models[0].index.ids) > 90
+    for model in models[1:]:
+        assert (model.hashes == models[0].hashes).all() and (model.curve == models[0].curve).all()
+        assert all((x == model.index.__getstate__()[k]).all() for k, x in models[0].index.__getstate__().items())
+
+
 def test_words_tell_quality(spark):
     """Texts alike in every ratio, told apart by their words alone."""
     draw = random.Random(4)
