@@ -87,10 +87,14 @@ def run_files(spark: SparkSession, paths: list[str], expression: str | None = No
     return run(texts.of_files(spark, paths), expression, template, fmt)
 
 
-def run_lines(source: DataFrame, fmt: str, expression: str, template: str | None = None, column: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
-    """An expression on the lines of a text column in one known format: splittable, for batches and streams."""
-    found = texts.lines(source, fmt, column)
-    return found.binding.select(found.df, compile_expression(expression, template), carry=carry)
+def run_lines(source: DataFrame, fmt: str, expression: str, template: str | None = None, column: str = "value", carry: tuple[str, ...] = (), blanks: str = texts.BLANKS, every: bool = False) -> DataFrame:
+    """An expression on the lines of a text column in one known format: splittable, for batches and streams.
+
+    Of plain text, blanks are the characters that part words, and with every each row that passes the filter prints
+    one, null where it lacks the selected word.
+    """
+    found = texts.lines(source, fmt, column, blanks, every)
+    return found.binding.select(found.df, compile_expression(expression, template), carry=carry, every=every)
 
 
 def convert(documents: DataFrame) -> DataFrame:

@@ -64,14 +64,14 @@ class Binding:
         found, binding = self.prepared(df, query)
         return found.filter(column(binding.holds(query.filter))).select(*[F.col(f"`{c}`") for c in df.columns])
 
-    def select(self, df: DataFrame, query: Query, name: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
-        """What the query prints for each row that passes, after the carried columns."""
+    def select(self, df: DataFrame, query: Query, name: str = "value", carry: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+        """What the query prints for each row that passes, after the carried columns; a missing field prints null with every, else nothing."""
         kept, binding = self.prepared(df, query)
         if query.filter is not None:
             kept = kept.filter(column(binding.holds(query.filter)))
         if query.selector is not None:
             cell = binding.cell(query.selector)
-            if cell.present is not True:
+            if cell.present is not True and not every:
                 kept = kept.filter(column(cell.present))
             return kept.select(*carry, cell.shown(pretty=True).alias(name))
         template = query.template or Template((Path((ORIGINAL,)),))

@@ -143,10 +143,15 @@ class Words(Binding):
 class Text(Words):
     """Lines of text: one of the first words is read off the line, without splitting the rest."""
 
+    def __init__(self, parts: Column, raw: Column, blanks: str = BLANKS):
+        super().__init__(parts, raw)
+        self.blanks = blanks
+
     def at(self, i: int) -> Column:
         if i >= NEAR:
             return super().at(i)
-        return F.nullif(F.regexp_extract(self.raw, f"^[{BLANKS}]*(?:[^{BLANKS}]++[{BLANKS}]++){{{i}}}([^{BLANKS}]+)", 1), F.lit(""))
+        b = self.blanks
+        return F.nullif(F.regexp_extract(self.raw, f"^[{b}]*(?:[^{b}]++[{b}]++){{{i}}}([^{b}]+)", 1), F.lit(""))
 
 
 class Fields(Words):

@@ -66,14 +66,20 @@ class Lines:
     binding: Binding
 
 
-def lines(source: DataFrame, fmt: str, column: str = "value") -> Lines:
+def lines(source: DataFrame, fmt: str, column: str = "value", blanks: str = BLANKS, every: bool = False) -> Lines:
     """The lines of a text column, each a record of one known format; blank and broken lines are left out.
 
+    Of plain text, blanks are the characters that part words; with every, blank lines and nulls stay, without words.
+
     Stays in the JVM for JSON and text. Of a table, only logfmt lines with a quote or backslash go through Python, as a
     branch of their own that reads the source once more; quoted CSV goes through Python in Arrow batches. Works for batches and streams alike.
     """
+    if fmt != TEXT and (every or blanks != BLANKS):
+        raise ValueError(f"blanks and every are for plain text, not {fmt}")
     raw = F.regexp_replace(F.col(column), "\\r\\z", "")
-    rows = source.withColumn("raw", raw).filter(~F.col("raw").rlike(f"^[{BLANKS}]*\\z"))
+    rows = source.withColumn("raw", raw)
+    if not every:
+        rows = rows.filter(~F.col("raw").rlike(f"^[{blanks}]*\\z"))
     if fmt == JSON:
         # Arrays and scalars are records too, but have no original text.
         rows = rows.withColumn("rec", F.try_parse_json("raw")).filter("rec is not null")
@@ -81,8 +87,8 @@ def lines(source: DataFrame, fmt: str, column: str = "value") -> Lines:
         rows = rows.withColumn("doc", F.col("raw")).withColumn("own", F.when(is_object, F.col("raw")))
         return Lines(rows, Json(F.col("rec"), F.col("doc"), F.col("own")))
     if fmt == TEXT:
-        rows = rows.withColumn("parts", F.filter(F.split("raw", f"[{BLANKS}]+"), lambda w: w != ""))
-        return Lines(rows, Text(F.col("parts"), F.col("raw")))
+        rows = rows.withColumn("parts", F.filter(F.split("raw", f"[{blanks}]+"), lambda w: w != ""))
+        return Lines(rows, Text(F.col("parts"), F.col("raw"), blanks))
     if fmt == LOGFMT:
         simple = F.col("raw").rlike(SIMPLE)
         if rows.isStreaming:  # a stream is read once, so its simple lines pass by Python as nulls

@@ -146,6 +146,17 @@ def test_lines(spark, fmt):
     assert sorted(r["value"] for r in api.run_lines(df, fmt, expression).collect()) == sorted(printed)
 
 
+def test_every_line(spark):
+    df = spark.createDataFrame([(x,) for x in ("a\xa0b c", " ", None, "d e")], "value string")
+    printed = lambda *a, **k: [r["value"] for r in api.run_lines(df, "text", *a, **k).collect()]
+    assert printed("word_1") == ["b", "e"]
+    assert printed("word_1", blanks=" ", every=True) == ["c", None, None, "e"]
+    assert printed("_array.0", blanks=" ", every=True) == ["a\xa0b", None, None, "d"]
+    assert printed('word_0 == "d" [${word_1}]', every=True) == ["e"]
+    with pytest.raises(ValueError):
+        api.run_lines(df, "json", "a", every=True)
+
+
 def test_command_line(spark, tmp_path, capsys):
     import io
 
